@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retrials.functions.lineage import materialize
+
 MAX_CUTS = 1024
 _B = "__bucket"
 
@@ -120,7 +122,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, **weights: Colu
 
 def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average rank of ``value`` within each key, ties sharing their mean rank."""
-    counts = value_counts(df, keys, value)
+    counts = materialize(value_counts(df, keys, value))
     ranked = running_sum(counts, keys, [value], {"__upto": F.col("n")}).select(
         *keys, value, (F.col("__upto") - (F.col("n") - 1) / F.lit(2.0)).alias(name)
     )
@@ -128,7 +130,7 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], source=None
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one column per entry of ``probs``.
 
@@ -136,9 +138,9 @@ def quantiles(
     distinct values in one task.
     """
     clean = df.where(F.col(value).isNotNull())
-    counts = value_counts(clean, keys, value)
+    counts = materialize(value_counts(clean, keys, value))
     run = running_sum(counts, keys, [value], {"__upto": F.col("n")})
-    totals = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__n"))
     placed = run.join(totals, list(keys)) if keys else run.withColumn("__n", totals.scalar())
     picks = []
     for name, p in probs.items():

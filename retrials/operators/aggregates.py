@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retrials.functions.lineage import materialize
 from retrials.functions.numeric import binary_entropy, count_where, flag, mean_where, rate, ratio
 from retrials.functions.ordered import quantiles
 from retrials.operators import resampling as B
@@ -379,7 +380,7 @@ def stratified_interaction(df: DataFrame, hi: str, lo: str, draws: int = B.DRAWS
     for s in ("high", "low"):
         inside = F.col("uncertainty_stratum") == s
         aggs += [F.coalesce(F.sum(F.when(inside, d)), F.lit(0.0)).alias(f"top_{s}"), count_where(inside).alias(f"n_{s}")]
-    stats = df.where(F.col("uncertainty_stratum").isin("high", "low")).groupBy("problem_id").agg(*aggs)
+    stats = materialize(df.where(F.col("uncertainty_stratum").isin("high", "low")).groupBy("problem_id").agg(*aggs))
     cols = ["top_high", "n_high", "top_low", "n_low"]
 
     def gap():

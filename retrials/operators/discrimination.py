@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retrials.functions.lineage import materialize
 from retrials.functions.numeric import count_where, flag, ratio
 from retrials.functions.ordered import mid_ranks, position, running_sum
 
@@ -32,7 +33,7 @@ def auroc_from_histogram(
 
 
 def auroc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    return auroc_from_histogram(score_histogram(df, keys, score, label), keys, score)
+    return auroc_from_histogram(materialize(score_histogram(df, keys, score, label)), keys, score)
 
 
 def average_precision_from_histogram(hist: DataFrame, keys: Sequence[str], score: str, cuts: Column | None = None) -> DataFrame:
@@ -47,7 +48,7 @@ def average_precision_from_histogram(hist: DataFrame, keys: Sequence[str], score
 
 
 def average_precision(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    return average_precision_from_histogram(score_histogram(df, keys, score, label), keys, score)
+    return average_precision_from_histogram(materialize(score_histogram(df, keys, score, label)), keys, score)
 
 
 def squared_error(p: Column, y: Column) -> Column:
@@ -88,11 +89,11 @@ def calibration_error(df: DataFrame, score: str, label: str, bins: int = 10, key
 
 def risk_coverage(df: DataFrame, score: str, label: str, ident: str) -> DataFrame:
     """Coverage and error rate when the most confident rows are kept first."""
-    ordered = df.select(ident, (-F.col(score)).alias("__d"), F.col(label).cast("long").alias("__y"))
+    ordered = materialize(df.select(ident, (-F.col(score)).alias("__d"), F.col(label).cast("long").alias("__y")))
     run = running_sum(
         ordered, [], ["__d", ident], {"rank": F.lit(1).cast("long"), "hits": F.col("__y")}
     )
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = ordered.agg(F.count(F.lit(1)).alias("n")).scalar()
     return run.select(
         ident, "rank", (F.col("rank") / total).alias("coverage"),
         (1 - F.col("hits") / F.col("rank")).alias("risk"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrials.functions.keys import hash60
+from retrials.functions.lineage import materialize
 from retrials.functions.numeric import count_where, ratio
 from retrials.functions.ordered import cut_points, mid_ranks, position, running_sum
 from retrials.operators import discrimination as D
@@ -23,13 +24,17 @@ DRAWS = 200
 
 
 def index_clusters(clusters: DataFrame, groups: Sequence[str], cluster: str) -> DataFrame:
-    """Number the clusters 1..n within each group."""
-    return with_count(position(clusters, list(groups), [cluster], "slot"), groups, "slots")
+    """Number the clusters 1..n within each group, in hash order; written, as it is read twice."""
+    base = materialize(clusters.withColumn("__c", hash60("c:", F.col(cluster))))
+    placed = position(base, list(groups), ["__c", cluster], "slot", hashed=True).drop("__c")
+    return materialize(with_count(placed, groups, "slots"))
 
 
 def picks(indexed: DataFrame, groups: Sequence[str], draws: int, seed: str) -> DataFrame:
     """(groups, draw, slot): one row per slot of every draw, ``slot`` being the picked cluster."""
-    fan = indexed.select(
+    # The index is small and its fan-out is not: spread it before exploding.
+    width = max(indexed.sparkSession.sparkContext.defaultParallelism, _shuffle_width(indexed))
+    fan = indexed.select(*groups, "slots", "slot").repartition(width, *groups, "slot").select(
         *groups, "slots", F.col("slot").alias("__i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"),
     )
@@ -40,6 +45,10 @@ def picks(indexed: DataFrame, groups: Sequence[str], draws: int, seed: str) -> D
     return fan.select(*groups, "draw", chosen.alias("slot"))
 
 
+def _shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def multiplicities(clusters: DataFrame, cluster: str, draws: int = DRAWS, seed: str = "b") -> DataFrame:
     """(draw, cluster, weight) for every cluster picked at least once."""
     indexed = index_clusters(clusters.select(cluster).distinct(), [], cluster)
@@ -84,7 +93,7 @@ def ratio_interval(
     w = F.lit(1.0) if weight is None else weight.cast("double")
     v = value.cast("double")
     used = v.isNotNull()
-    stats = df.where(used).groupBy(*groups, cluster).agg(F.sum(v * w).alias("top"), F.sum(w).alias("bottom"))
+    stats = materialize(df.where(used).groupBy(*groups, cluster).agg(F.sum(v * w).alias("top"), F.sum(w).alias("bottom")))
     point = stats.groupBy(*groups).agg(
         ratio(F.sum("top"), F.sum("bottom")).alias("estimate"), F.count(F.lit(1)).alias("clusters")
     )
@@ -115,21 +124,29 @@ def replicate_histograms(
     )
 
 
+def replicate_auroc(
+    hist: DataFrame, score: str, cluster: str = "problem_id", draws: int = DRAWS, seed: str = "b"
+) -> DataFrame:
+    """(draw, value) of AUROC from a per-cluster score histogram."""
+    hist = materialize(hist)
+    reps = materialize(replicate_histograms(hist, cluster, score, draws, seed))
+    cuts = cut_points(hist.select(score).distinct(), [score])
+    return D.auroc_from_histogram(reps, ["draw"], score, cuts).select("draw", F.col("auroc").alias("value"))
+
+
 def replicate_metric(
     df: DataFrame, score: str, label: str, metric: str = "auroc", cluster: str = "problem_id",
     draws: int = DRAWS, seed: str = "b",
 ) -> DataFrame:
     """(draw, value) of AUROC, average precision, ECE or Brier; NULL where a class is absent."""
     y = F.col(label).cast("long")
-    if metric in ("auroc", "average_precision"):
-        hist = D.score_histogram(df, [cluster], score, label)
-        reps = replicate_histograms(hist, cluster, score, draws, seed)
-        if metric == "auroc":
-            cuts = cut_points(hist.select(score).distinct(), [score])
-            out = D.auroc_from_histogram(reps, ["draw"], score, cuts)
-        else:
-            cuts = cut_points(hist.select((-F.col(score)).alias("__d")).distinct(), ["__d"])
-            out = D.average_precision_from_histogram(reps, ["draw"], score, cuts)
+    if metric == "auroc":
+        return replicate_auroc(D.score_histogram(df, [cluster], score, label), score, cluster, draws, seed)
+    if metric == "average_precision":
+        hist = materialize(D.score_histogram(df, [cluster], score, label))
+        reps = materialize(replicate_histograms(hist, cluster, score, draws, seed))
+        cuts = cut_points(hist.select((-F.col(score)).alias("__d")).distinct(), ["__d"])
+        out = D.average_precision_from_histogram(reps, ["draw"], score, cuts)
         return out.select("draw", F.col(metric).alias("value"))
     if metric == "brier":
         stats = df.groupBy(cluster).agg(
@@ -191,9 +208,9 @@ def slope_interval(
 ) -> DataFrame:
     """Least-squares slope of cluster means of ``y`` on ``x`` with clusters resampled."""
     means = df.groupBy(*groups, cluster, x).agg(F.avg(F.col(y).cast("double")).alias("__y"))
-    stats = means.where(F.col("__y").isNotNull()).groupBy(*groups, cluster).agg(
+    stats = materialize(means.where(F.col("__y").isNotNull()).groupBy(*groups, cluster).agg(
         *[c.alias(k) for k, c in slope_sums(F.col(x), F.col("__y")).items()]
-    )
+    ))
     cols = ["sn", "sx", "sy", "sxx", "sxy"]
     point = stats.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("clusters"))
     reps = replicate_sums(stats, groups, cluster, cols, draws, seed).withColumn("value", slope_of())
@@ -212,11 +229,11 @@ def spearman_interval(
     table = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*groups, cluster, left, right)
     indexed = index_clusters(table, groups, cluster)
     chosen = picks(indexed, groups, draws, seed).groupBy(*groups, "draw", "slot").agg(F.count(F.lit(1)).alias("w"))
-    rows = chosen.join(indexed.select(*groups, "slot", left, right), [*groups, "slot"])
+    rows = materialize(chosen.join(indexed.select(*groups, "slot", left, right), [*groups, "slot"]))
     keys = [*groups, "draw"]
     for col, name in ((left, "ra"), (right, "rb")):
         counts = rows.groupBy(*keys, col).agg(F.sum("w").alias("__w"))
-        cuts = cut_points(table.select(col).distinct(), [col])
+        cuts = cut_points(indexed.select(col).distinct(), [col])
         ranked = running_sum(counts, keys, [col], {"__upto": F.col("__w")}, cuts=cuts).select(
             *keys, col, (F.col("__upto") - (F.col("__w") - 1) / F.lit(2.0)).alias(name)
         )
@@ -239,9 +256,9 @@ def two_sample_interval(
 ) -> DataFrame:
     """Mean(side FALSE) - mean(side TRUE), each side's clusters resampled independently."""
     keyed = df.where(F.col(value).isNotNull()).withColumn("__side", F.col(side).cast("int").cast("long"))
-    stats = keyed.groupBy(*groups, "__side", cluster).agg(
+    stats = materialize(keyed.groupBy(*groups, "__side", cluster).agg(
         F.sum(value).alias("top"), F.count(value).alias("bottom")
-    )
+    ))
     reps = replicate_sums(stats, [*groups, "__side"], cluster, ["top", "bottom"], draws, seed)
 
     def difference(frame: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

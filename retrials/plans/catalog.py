@@ -1,4 +1,4 @@
 """Loads every query module; the registry holds the result."""
 
-from retrials.plans import q_attempts  # noqa: F401
+from retrials.plans import q_attempts, q_probes  # noqa: F401
 from retrials.plans.registry import ORACLES, QUERIES  # noqa: F401

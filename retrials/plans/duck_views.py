@@ -96,7 +96,7 @@ VIEWS: dict[str, str] = {
     CASE WHEN p.anchor + 1024 <= b0 OR p.anchor + 1024 >= b1 THEN r_lo ELSE greatest(r_lo, r_hi) END AS r_cons
   FROM probes p JOIN brackets b ON b.run_id = p.run_id AND (
     (p.anchor + 1024 <= b0 AND lo = b0) OR (p.anchor + 1024 >= b1 AND p.anchor + 1024 > b0 AND lo = b1)
-    OR (p.anchor + 1024 > b0 AND p.anchor + 1024 < b1 AND lo <= p.anchor + 1024 AND p.anchor + 1024 < hi))""",
+    OR (p.anchor + 1024 > b0 AND p.anchor + 1024 < b1 AND lo < p.anchor + 1024 AND p.anchor + 1024 <= hi))""",
     "vectors": """
   SELECT label * 10 + vec_id % 5 AS run_id, label AS problem_id, vec_id, embedding AS vec,
     (vec_id * 7) % 3 = 0 AS correct,

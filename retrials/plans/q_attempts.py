@@ -8,6 +8,7 @@ from retrials.operators import aggregates as A
 from retrials.operators import discrimination as D
 from retrials.operators import resampling as B
 from retrials.plans import fixtures as X
+from retrials.plans import jobs
 from retrials.plans.registry import query
 
 LOO = """loo AS (SELECT a.*, (s - correct::int) / (k - 1) AS loo_rate, k, s / k AS problem_rate FROM attempts a JOIN
@@ -15,7 +16,7 @@ LOO = """loo AS (SELECT a.*, (s - correct::int) / (k - 1) AS loo_rate, k, s / k
 
 # Bootstrap slots over clusters c(problem_id): picks(draw, problem_id), one row per slot.
 def picks_sql(clusters: str, draws: int = 200, seed: str = "b") -> str:
-    return f"""idx AS (SELECT problem_id, row_number() OVER (ORDER BY problem_id) AS slot, count(*) OVER () AS slots FROM ({clusters})),
+    return f"""idx AS (SELECT problem_id, row_number() OVER (ORDER BY H('c:'||problem_id), problem_id) AS slot, count(*) OVER () AS slots FROM ({clusters})),
   picks AS (SELECT draw, p.problem_id FROM (
     SELECT draw, H('{seed}:'||draw||':'||slot) % slots + 1 AS pick FROM idx, (SELECT unnest(range({draws})) AS draw)) s
     JOIN idx p ON p.slot = s.pick)"""
@@ -147,9 +148,4 @@ SELECT (SELECT count(DISTINCT problem_id) FROM loo) AS problems, (SELECT count(*
   R(quantile_cont(value, 0.025)) AS ci_low, R(quantile_cont(value, 0.975)) AS ci_high,
   count(value) AS used_draws, count(*) FILTER (value IS NULL) AS skipped_draws FROM v""")
 def _(spark, sf):
-    rows = A.loo_pass_rate(X.attempts(spark, sf)).withColumn("problem_rate", F.col("successes") / F.col("k"))
-    size = rows.agg(F.countDistinct("problem_id").alias("problems"), F.count(F.lit(1)).alias("attempts"),
-                    F.avg(F.col("correct").cast("double")).alias("base_rate"))
-    return B.metric_interval(rows, "loo_rate", "correct").join(size, F.lit(True)).withColumn(
-        "auroc_loo", D.auroc(rows, "loo_rate", "correct").select("auroc").scalar()
-    ).withColumn("auroc_upper", D.auroc(rows, "problem_rate", "correct").select("auroc").scalar())
+    return jobs.difficulty_ceiling(X.attempts(spark, sf))
