@@ -27,6 +27,6 @@ def run_identity(*fields) -> Column:
 def problem_identity(dataset, index, text) -> Column:
     """``dataset_00042_<first 12 hex of sha256(text)>``."""
     return F.concat(
-        _text(dataset), F.lit("_"), F.lpad(_text(index), 5, "0"), F.lit("_"),
+        _text(dataset), F.lit("_"), F.lpad(_text(index), F.greatest(F.length(_text(index)), F.lit(5)), F.lit("0")), F.lit("_"),
         F.substring(F.sha2(_text(text), 256), 1, 12),
     )

@@ -68,6 +68,11 @@ def with_bucket(df: DataFrame, order: Sequence[str], cuts: Column | None = None)
     return staged.withColumn(_B, number).drop("__cuts")
 
 
+def index_bucket(index: str, chunk: int = 65536) -> Column:
+    """Bucket of an integer index: at most ``chunk`` rows of one key."""
+    return F.coalesce(F.floor(F.col(index) / chunk), F.lit(0).cast("long"))
+
+
 def hash_bucket(df: DataFrame, hashed: str) -> Column:
     """Bucket of a uniform 60-bit hash: its leading bits, already in hash order."""
     bits = max(3, math.ceil(math.log2(_cut_count(df))))
@@ -81,14 +86,18 @@ def running_sum(
     sums: Mapping[str, Column],
     cuts: Column | None = None,
     hashed: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key along ``order``; ties of ``order`` must not matter.
 
     Keys must be non-NULL.  ``cuts`` may be given to reuse the cut points of a cheaper
     table over the same order domain; ``hashed`` says the first order column is a
-    uniform 60-bit hash, which needs no cut points at all.
+    uniform 60-bit hash, which needs no cut points at all; ``bucket`` is any other
+    expression that never decreases along ``order``.
     """
-    if hashed:
+    if bucket is not None:
+        bucketed = df.withColumn(_B, bucket)
+    elif hashed:
         bucketed = df.withColumn(_B, hash_bucket(df, order[0]))
     else:
         bucketed = with_bucket(df, order, cuts)
