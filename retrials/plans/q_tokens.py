@@ -254,7 +254,7 @@ def _(spark, sf):
 
 @query("q09_path_geometry", f"""WITH {VEC}, fl AS (SELECT run_id, arg_min({D64}, token_index) AS f, arg_max({D64}, token_index) AS l FROM vectors GROUP BY 1),
  u AS (SELECT run_id, unnest(f) AS f, unnest(l) AS l FROM fl), nt AS (SELECT run_id, sqrt(sum((l-f)*(l-f)))/greatest(sqrt(sum(f*f)), 1e-12) AS net FROM u GROUP BY 1),
- g AS (SELECT run_id, count(*) AS states, sum(nd/greatest(np, 1e-12)) AS pl, avg(acos(greatest(-1, least(1, ab/greatest(na*nd, 1e-12))))) AS am, var_pop(acos(greatest(-1, least(1, ab/greatest(na*nd, 1e-12))))) AS av FROM s GROUP BY 1)
+ g AS (SELECT run_id, count(*) AS states, sum(nd/greatest(np, 1e-12)) AS pl, avg(CASE WHEN ab IS NOT NULL THEN acos(greatest(-1, least(1, ab/greatest(na*nd, 1e-12)))) END) AS am, var_pop(CASE WHEN ab IS NOT NULL THEN acos(greatest(-1, least(1, ab/greatest(na*nd, 1e-12)))) END) AS av FROM s GROUP BY 1)
 SELECT run_id, states, R(pl) AS sparse_path_length, R(CASE WHEN states >= 2 THEN net END) AS net_displacement, R(am) AS turning_angle_mean, R(av) AS turning_angle_variance,
  R(CASE WHEN pl > 0 THEN net/pl END) AS trajectory_efficiency FROM g JOIN nt USING (run_id)""", )
 def _(spark, sf):

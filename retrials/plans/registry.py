@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 # Shorthand of the SQL twins: H(x) keyed hash, R(x) rounded double, I(x) bigint.
 _SHORT = {
     "H": "cast('0x'||substr(md5({0}),1,15) as bigint)",
-    "R": "(round(cast({0} as double), 8) + 0.0)",
+    "R": "(round(cast({0} as double) + 3e-11, 8) + 0.0)",
     "I": "cast({0} as bigint)",
 }
 
