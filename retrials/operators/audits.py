@@ -18,7 +18,7 @@ def pilot_audit(attempts: DataFrame, planned_problems: int) -> DataFrame:
         F.count(F.lit(1)).alias("attempts"), F.countDistinct("problem_id").alias("problems"), rate(F.col("correct")).alias("accuracy"),
         F.max("tokens").alias("max_tokens"), F.sum("tokens").alias("__s"),
     )
-    projected = F.col("__s") / F.col("problems") * planned_problems
+    projected = F.floor(F.col("__s") * planned_problems / F.col("problems"))
     both = (F.col("accuracy") > 0) & (F.col("accuracy") < 1)
     med = quantiles(attempts, cells, "tokens", {"median_tokens": 0.5})
     return base.join(med, cells).withColumn("projected_tokens", projected).withColumn("both_labels", both).drop("__s")

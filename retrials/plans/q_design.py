@@ -191,7 +191,7 @@ def _(spark, sf):
 
 
 @query("c09_pilot_audit", """WITH p AS (SELECT model_key, level, count(*) AS attempts, count(DISTINCT problem_id) AS problems, avg(correct::int) AS r, quantile_cont(tokens, 0.5) AS md, max(tokens) AS mx, sum(tokens) AS s FROM attempts GROUP BY ALL)
-SELECT model_key, level, attempts, problems, R(r) AS accuracy, R(md) AS median_tokens, mx AS max_tokens, R(s/problems*1000) AS projected_tokens, r > 0 AND r < 1 AS both_labels FROM p""")
+SELECT model_key, level, attempts, problems, R(r) AS accuracy, R(md) AS median_tokens, mx AS max_tokens, I(floor(s*1000/problems)) AS projected_tokens, r > 0 AND r < 1 AS both_labels FROM p""")
 def _(spark, sf):
     from retrials.operators.audits import pilot_audit
     return pilot_audit(X.attempts(spark, sf), 1000)

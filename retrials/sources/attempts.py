@@ -17,7 +17,7 @@ def _directory(df: DataFrame) -> DataFrame:
 def committed(spark: SparkSession, root: str) -> DataFrame:
     """Directories below ``root`` that hold a completion marker."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", MARKER).load(root)
-    return files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory")).distinct()
+    return _directory(files.select("_metadata")).select("directory").distinct()
 
 
 def read_attempts(spark: SparkSession, root: str, schema: str) -> DataFrame:
