@@ -318,7 +318,9 @@ def _fs(spark, path):
 
 def _touch(spark, path):
     fs, p, _ = _fs(spark, path)
-    fs.create(p).close()
+    out = fs.create(p)
+    out.writeBytes("{}")
+    out.close()
 
 
 def _rename_outputs(spark, root, stem):
