@@ -110,7 +110,7 @@ def fit_predict(
         return apply.withColumn(P, F.lit(train.agg(F.avg(F.col(label).cast("double"))).first()[0]))
     shape = prepare(train, numeric, categorical)
     fit = {"logistic": logistic, "boosted": boosted_trees, "forest": random_forest}[kind]
-    return predict(fit(shape(train), label, **how), shape(apply)).drop(X)
+    return predict(fit(materialize(shape(train)), label, **how), shape(apply)).drop(X)
 
 
 def logit(p: Column) -> Column:
