@@ -81,13 +81,14 @@ def logistic(train: DataFrame, label: str, c: float = 0.1, features: str = X, ma
     rows, total = balanced_weights(train, label)
     return LogisticRegression(
         featuresCol=features, labelCol=Y, weightCol=W, regParam=1.0 / (c * total), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-8, probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__hat",
+        standardization=False, maxIter=max_iter, tol=1e-6, probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__hat",
     ).fit(rows.withColumn(Y, F.col(label).cast("double")))
 
 
 def boosted_trees(train: DataFrame, label: str, rounds: int = 300, seed: int = 7):
-    return GBTClassifier(featuresCol=X, labelCol=Y, maxIter=rounds, stepSize=0.05, maxDepth=5, seed=seed, probabilityCol="__prob",
-                         rawPredictionCol="__raw", predictionCol="__hat").fit(train.withColumn(Y, F.col(label).cast("double")))
+    rows = train.withColumn(Y, F.col(label).cast("double"))
+    model = GBTClassifier(featuresCol=X, labelCol=Y, maxIter=rounds, stepSize=0.05, maxDepth=5, seed=seed, predictionCol="__hat").fit(rows)
+    return model.setProbabilityCol("__prob").setRawPredictionCol("__raw")
 
 
 def random_forest(train: DataFrame, label: str, trees: int = 500, seed: int = 7):
@@ -121,7 +122,7 @@ def logit(p: Column) -> Column:
 def platt(calibration: DataFrame, apply: DataFrame, label: str, score: str = P) -> DataFrame:
     """One-feature logistic recalibration fitted on other rows only; adds calibrated and was_nan."""
     rows = calibration.withColumn(X, array_to_vector(F.array(logit(F.col(score))))).withColumn(Y, F.col(label).cast("double"))
-    model = LogisticRegression(featuresCol=X, labelCol=Y, regParam=0.0, standardization=False, maxIter=200, tol=1e-8,
+    model = LogisticRegression(featuresCol=X, labelCol=Y, regParam=0.0, standardization=False, maxIter=200, tol=1e-6,
                                probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__hat").fit(rows)
     ready = apply.withColumn(X, array_to_vector(F.array(logit(F.col(score))))).withColumn("was_nan", F.isnan(score))
     return predict(model, ready, "calibrated").drop(X)
