@@ -49,6 +49,8 @@ _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -87,12 +89,13 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """Words (runs without ASCII white space) of rows ``i..j``: hashes, byte bounds, and each row's first word."""
+    """Words (runs without the bytes marked in ``gaps``, ASCII white space by default) of the rows
+    between ``offsets``: hashes, byte bounds, and each row's first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = _IS_SPACE):
         lo, hi = int(offsets[0]), int(offsets[-1])
         self.base, raw = lo, data[lo:hi]
-        inside = ~_IS_SPACE[raw]
+        inside = ~gaps[raw]
         edge = np.empty(len(raw), bool)
         edge[:1] = True
         edge[1:] = ~inside[:-1]
