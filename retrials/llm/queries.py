@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrials.llm import chat_format, decontaminate, html_text, license_scan, mixing, quality_rules, rule_ensemble
+from retrials.llm import chat_format, decontaminate, html_text, license_scan, mixing, near_duplicates, quality_rules, rule_ensemble
 from retrials.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
