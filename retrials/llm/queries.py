@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrials.llm import chat_format, decontaminate, html_text, license_scan, mixing, near_duplicates, quality_rules, rule_ensemble
+from retrials.llm import chat_format, decontaminate, html_text, license_scan, mixing, near_duplicates, quality_rules, repeated_passages, rule_ensemble
 from retrials.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
+OP2 = rf"""
+with d as (select doc_id, {WORDS} as words, row_number() over () as rid from documents),
+win as (select rid, coalesce(doc_id, 9223372036854775807) as id, i, array_to_string(words[i:i+12], ' ') as x from (select *, unnest(range(1, len(words) - 11)) as i from d)),
+gone as (select distinct rid, i + j as w from (select rid, i from (select *, min(id) over (partition by x) as least from win) where id > least), range(13) t(j)),
+marks as (select rid, list(w) as ws from gone group by rid),
+k as (select doc_id, words, coalesce(ws, []) as ws from d left join marks using (rid))
+select doc_id, len(words)::bigint as n_words, len(ws)::bigint as n_removed,
+  sha256(array_to_string(list_filter(words, lambda w, i: not list_contains(ws, i)), ' ')) as kept_sha256 from k
+"""
+
+
+@query(OP2)
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
