@@ -53,9 +53,9 @@ def line_id(line: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, min_left: float = 0.3, min_words: int = 20,
-                  doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+                  doc_id: str = "doc_id", text: str = "text", host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, left_words, n_lines_removed, kept, clean_text.
+    n_repeat_words, base_failed, left_words, n_lines_removed, kept, clean_text, and the columns in ``carry``.
 
     A line goes if more than ``max_docs`` distinct documents of its host hold it and these are at
     least ``min_share`` of all rows that hold it; a document goes if it fails the base rules
@@ -63,7 +63,7 @@ def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, m
     of its words are left.  Null or empty text: no words, base_failed, clean_text as it was.
     A null host is a host.  Repeated rows count once for a line and each get their row.  Other
     columns of ``docs`` are not read; an empty table gives no rows."""
-    src = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    src = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     src = src.withColumn("key", F.xxhash64("text"))
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
@@ -88,7 +88,7 @@ def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, m
         "id", "host", "key", "text", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate(body, WHITE, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lined") - F.size(F.array_distinct("lined"))).cast("long").alias("n_dup_lines"), "n_repeat_words")
+        (F.size("lined") - F.size(F.array_distinct("lined"))).cast("long").alias("n_dup_lines"), "n_repeat_words", *(f"carry_{c}" for c in carry))
     stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     d, g = stats.alias("d"), gone.alias("g")
     both = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & F.col("d.host").eqNullSafe(F.col("g.host")) & (F.col("d.key") == F.col("g.key")), "left")
@@ -98,4 +98,4 @@ def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, m
         F.col("d.id").alias(doc_id), F.col("d.host").alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         left.alias("left_words"), F.coalesce("n_lines", F.lit(0)).alias("n_lines_removed"),
         (~F.col("base_failed") & (left >= min_left * F.col("n_words"))).alias("kept"),
-        F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")).alias("clean_text"))
+        F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")).alias("clean_text"), *(F.col(f"carry_{c}").alias(c) for c in carry))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrials.llm import chat_format, decontaminate, html_text, license_scan, mixing, near_duplicates, quality_rules, repeated_passages, rule_ensemble
+from retrials.llm import chat_format, decontaminate, html_text, license_scan, mixing, near_duplicates, quality_rules, repeated_passages, rule_ensemble, suffix_array
 from retrials.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,9 @@ select doc_id, len(words)::bigint as n_words, len(ws)::bigint as n_removed,
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_array.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
