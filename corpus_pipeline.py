@@ -13,7 +13,7 @@ from retrials.llm.common import stored, table
 from retrials.llm.decontaminate import drop_contaminated
 from retrials.llm.mixing import mix
 from retrials.llm.near_duplicates import near_duplicates
-from retrials.llm.quality_rules import quality_rules
+from retrials.llm.quality_rules import clean_documents, quality_rules
 from retrials.llm.suffix_array import remove_repeated_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,8 +25,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines over the limit go from the rest."""
-    out = quality_rules(docs, carry=("lang",)).where("kept")
-    return _documents(out.withColumnRenamed("clean_text", "text"))
+    return _documents(clean_documents(docs, quality_rules(docs)))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

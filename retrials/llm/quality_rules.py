@@ -53,17 +53,17 @@ def line_id(line: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, min_left: float = 0.3, min_words: int = 20,
-                  doc_id: str = "doc_id", text: str = "text", host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+                  doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, left_words, n_lines_removed, kept, clean_text, and the columns in ``carry``.
+    n_repeat_words, base_failed, left_words, n_lines_removed, kept, tkey (64-bit hash of the text), bad_lines (their ids).
 
     A line goes if more than ``max_docs`` distinct documents of its host hold it and these are at
     least ``min_share`` of all rows that hold it; a document goes if it fails the base rules
     (under ``min_words`` words, or over 30 % of words in repeated windows) or under ``min_left``
-    of its words are left.  Null or empty text: no words, base_failed, clean_text as it was.
+    of its words are left.  Null or empty text: no words, base_failed.
     A null host is a host.  Repeated rows count once for a line and each get their row.  Other
     columns of ``docs`` are not read; an empty table gives no rows."""
-    src = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    src = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
     src = src.withColumn("key", F.xxhash64("text"))
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
@@ -85,17 +85,26 @@ def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, m
     stats = src.withColumn("words", words_of(body)).withColumn("lined", lines)
     stats = repeated_window_words(F.col("words"), "n_repeat_words", stats)
     stats = stats.select(
-        "id", "host", "key", "text", F.size("words").cast("long").alias("n_words"),
+        "id", "host", "key", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate(body, WHITE, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lined") - F.size(F.array_distinct("lined"))).cast("long").alias("n_dup_lines"), "n_repeat_words", *(f"carry_{c}" for c in carry))
+        (F.size("lined") - F.size(F.array_distinct("lined"))).cast("long").alias("n_dup_lines"), "n_repeat_words")
     stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    d, g = stats.alias("d"), gone.alias("g")
+    d, g = stored(stats, "statistics").alias("d"), gone.alias("g")
     both = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & F.col("d.host").eqNullSafe(F.col("g.host")) & (F.col("d.key") == F.col("g.key")), "left")
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
-    kept_lines = F.filter(F.split("text", "\n"), lambda x: (F.length(F.translate(x, WHITE, "")) == 0) | ~F.array_contains("bad", line_id(normalised(x))))
     return both.select(
         F.col("d.id").alias(doc_id), F.col("d.host").alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         left.alias("left_words"), F.coalesce("n_lines", F.lit(0)).alias("n_lines_removed"),
-        (~F.col("base_failed") & (left >= min_left * F.col("n_words"))).alias("kept"),
-        F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")).alias("clean_text"), *(F.col(f"carry_{c}").alias(c) for c in carry))
+        (~F.col("base_failed") & (left >= min_left * F.col("n_words"))).alias("kept"), F.col("d.key").alias("tkey"), F.col("bad").alias("bad_lines"))
+
+
+def clean_documents(docs: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns, without the lines over the limit."""
+    v = verdicts.where("kept").select(F.col(doc_id).alias("id"), F.col(host).alias("host"), "tkey", "bad_lines").dropDuplicates(["id", "host", "tkey"]).alias("v")
+    d = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(host).alias("host"), F.xxhash64(text).alias("tkey")).alias("d")
+    same = (F.col("d.tkey") == F.col("v.tkey")) & F.col("d.id").eqNullSafe(F.col("v.id")) & F.col("d.host").eqNullSafe(F.col("v.host"))
+    whole = F.col("row").getField(text)
+    lines = F.filter(F.split(whole, "\n"), lambda x: (F.length(F.translate(x, WHITE, "")) == 0) | ~F.array_contains("bad_lines", line_id(normalised(x))))
+    cleaned = F.when(F.col("bad_lines").isNull(), whole).otherwise(F.array_join(lines, "\n"))
+    return d.join(v, same).select(*(cleaned.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
