@@ -4,8 +4,10 @@ SuperMinHash gives each element a random permutation of the slots and the ranks
 random fraction as values; a slot keeps its least value.  Ranks of one element are never equal, which lowers
 the variance; once every slot holds a value below the next rank, no later rank can matter and the
 work stops early.  Documents with equal shingle sets are one class; bands, checks and links are
-between classes.  Classes that share a band are candidates.  Each is checked first with one class
-of its bands; then, between classes that aren't yet in one component, every candidate pair is checked.
+between classes.  Classes that share a band are candidates.  In a few rounds each is checked with the
+most alike of its bands' centres, which joins most groups with one check a class; then every candidate
+pair of classes that aren't yet in one component is checked.  Four bits of each slot make a sketch; a
+pair whose sketches agree in fewer slots than a pair at the limit does by five deviations isn't checked.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrials.llm.common import Words, blocks, byte_views, mixed, stored, window_starts, windows
@@ -33,7 +35,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     for n in range(1, k):
         short = np.flatnonzero(size == n)
         if len(short):
-            whole = windows(words.hash, n)[words.first[short]] ^ (_SHORT * np.uint64(n))
+            whole = windows(words.hash, n)[words.first[short]] ^ (_SHORT * np.array(n, np.uint64)[None])
             hashes, rows = np.concatenate([hashes, mixed(whole)]), np.concatenate([rows, short])
     order = np.lexsort((hashes, rows))
     hashes, rows = hashes[order], rows[order]
@@ -45,12 +47,13 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def super_minhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int, chunk: int = 100_000) -> np.ndarray:
     """Signatures (n_rows x slots) of the rows' element sets, rank by rank for all elements at once."""
     sig = np.full((n_rows, slots), np.inf)
+    steps = _STEP * np.arange(1, slots + 1, dtype=np.uint64)
     flat = sig.reshape(-1)
     for lo in range(0, len(rows), chunk):
         row, e = rows[lo: lo + chunk], elements[lo: lo + chunk]
         perm = np.tile(np.arange(slots, dtype=np.int16), (len(row), 1))
         for k in range(slots):
-            z = mixed(e + _STEP * np.uint64(k + 1))
+            z = mixed(e + steps[k])
             r = (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
             j = k + (mixed(z ^ _OTHER) % np.uint64(slots - k)).astype(np.int64)
             each = np.arange(len(row))
@@ -74,8 +77,31 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, sixteen slots a word."""
+    bits = mixed(sig.view(np.uint64)) & np.uint64(15)
+    return np.bitwise_or.reduce(bits.reshape(len(sig), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def agreeing_slots(a: str, b: str, words: int) -> Column:
+    """Slots in which two sketches agree."""
+    total = F.lit(16 * words)
+    for i in range(words):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total - F.bit_count(x.bitwiseAND(0x1111111111111111))
+    return total
+
+
+def least_agreement(slots: int, percent: int) -> int:
+    """Slots that a pair at the limit agrees in, less five standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(slots * p - 5 * (slots * p * (1 - p)) ** 0.5)
+
+
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """From (doc_id, tkey, text): doc_id, tkey, node (64 bits of the set), n_shingles, keys (one a band).  No words: node null."""
+    """From (doc_id, tkey, text): doc_id, tkey, node (64 bits of the set), n_shingles, keys (one a band), sketch.  No words: node null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +115,14 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 np.add.at(total, row, mixed(e ^ _OTHER))
                 np.bitwise_xor.at(mix, row, mixed(e + _STEP))
                 node = mixed(total ^ mixed(mix + count.astype(np.uint64)))
-                keys = band_keys(super_minhash(row, e, n, bands * rows), bands, rows)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
+                sig = super_minhash(row, e, n, bands * rows)
+                keys, sketch = (pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))
+                                for x in (band_keys(sig, bands, rows), sketches(sig)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(node.view(np.int64), mask=count == 0), pa.array(count, pa.int64()), keys],
-                    names=["doc_id", "tkey", "node", "n_shingles", "keys"])
+                    [b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(node.view(np.int64), mask=count == 0), pa.array(count, pa.int64()), keys, sketch],
+                    names=["doc_id", "tkey", "node", "n_shingles", "keys", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, tkey bigint, node bigint, n_shingles bigint, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, tkey bigint, node bigint, n_shingles bigint, keys array<bigint>, sketch array<bigint>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -120,33 +147,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, tkey (64-bit hash of the text), n_shingles, component_id, n_links, kept.
 
     Words are lower-cased (A-Z) runs without ASCII white space; shingles are ``k`` words.  Links join
     documents with 100 * |intersection| >= percent * |union|; ``n_links`` counts the confirmed links
     of the document's class that the search used.  A pair at the limit misses every band with a
-    chance of (1 - 0.8^4)^32 = 5e-8.  Texts without words (null, empty) link with nothing and are
+    chance of (1 - 0.8^4)^32 = 5e-8, and its sketches agree too little with one of 3e-7.  Texts without words (null, empty) link with nothing and are
     their own component.  component_id is the smallest id of the component, null only if all its ids are;
     kept: doc_id is the component_id.  Repeated rows share a class.  Other columns are not read."""
+    spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
     rows = stored(signed(src, k, bands, band_rows), "signed")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("tkey").alias("tkey"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
-    members = nodes.select("node", "size", "tkey", F.explode("keys").alias("key"))
-    centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    # a candidate's size must allow the similarity: the smaller set at least percent / 100 of the larger
-    members = stored(members.join(centres, "key"), "members")
-    texts = members.select("node", "tkey").distinct()
-    texts = stored(src.join(texts, "tkey").groupBy("node").agg(F.first("text").alias("text")), "candidates")
-    first = members.where("centre < node").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
-    links = stored(confirmed(first, texts, k, percent), "links")
-    joined = components(links)
-    placed = stored(members.join(joined, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "placed")
+    nodes = rows.where("node is not null").groupBy("node").agg(
+        F.min("tkey").alias("tkey"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(members.join(shared, "key"), "members")
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    candidates = stored(nodes.drop("keys").join(degree, "node"), "candidates")
+    texts = stored(src.join(candidates.select("tkey", "node"), "tkey").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    placed = members.select("node", "key").join(candidates.drop("tkey"), "node").withColumn("label", F.col("node"))
+    words, least = bands * band_rows // 16, least_agreement(bands * band_rows, percent)
+    fits = 100 * F.least("p.size", "q.size") >= percent * F.greatest("p.size", "q.size")
+    alike = agreeing_slots("p.sketch", "q.sketch", words)
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    for turn in range(rounds):
+        # the centre of a bucket: the class with most company, later any
+        rank = F.struct("degree", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
+        centre = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", rank).alias("node")).where("lo <> hi").select("key", "node")
+        centre = centre.join(placed.select("node", "size", "sketch", "label").distinct(), "node")
+        p, q = placed.alias("p"), centre.alias("q")
+        pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label")) & fits & (alike >= least))
+        pairs = pairs.select(F.col("p.node").alias("b"), F.col("q.node").alias("a"), alike.alias("alike")).groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
+        links = stored(links.unionByName(confirmed(pairs.select("a", "b"), texts, k, percent)), "links")
+        placed = stored(placed.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     placed = placed.join(mixed_keys, "key")
     p, q = placed.alias("p"), placed.alias("q")
-    fits = (100 * F.least("p.size", "q.size") >= percent * F.greatest("p.size", "q.size"))
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label")) & fits)
+    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label")) & fits & (alike >= least))
     rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
     links = links.unionByName(stored(confirmed(rest, texts, k, percent), "links"))
     grouped = components(links)

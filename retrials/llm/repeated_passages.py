@@ -55,7 +55,7 @@ class Filter:
 
 
 def first_copies(src: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (id, tkey, text): one document of each text, and (tkey, least id) of the texts that repeat."""
+    """From (id, tkey, text): the rows of the smallest id of each text, and (tkey, least id) of the texts that repeat."""
     copies = stored(src.groupBy("tkey").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("tkey", "least", "n"), "copies")
     first = src.join(copies.select("tkey", "least"), "tkey", "left").where(F.col("least").isNull() | (F.col("id") == F.col("least"))).select("id", "tkey", "text")
     return first, copies
@@ -144,7 +144,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_paths(first: DataFrame, k: int = 13) -> DataFrame:
     """Occurrences of the compacted paths of repeated edges, verified: id, tkey, path, source (the
-    smallest id that holds the path), start (word), edges.  ``first``: (id, tkey, text), each text once."""
+    smallest id that holds the path), start (word), edges.  ``first``: (id, tkey, text), each text under one id."""
     sc = first.sparkSession.sparkContext
     seen = first.mapInArrow(_anchor_rows(k), "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     anchors = sc.broadcast(Filter.of(seen, "anchor"))
@@ -160,7 +160,7 @@ def repeated_paths(first: DataFrame, k: int = 13) -> DataFrame:
     marks = stored(marks.where("is_start or is_end").select("edge", "source", "is_start", "is_end"), "marks")
     wanted = sc.broadcast(Filter.of(marks, "edge"))
     places = first.mapInArrow(_edge_rows(k, anchors, wanted), "edge bigint, id bigint, tkey bigint, place bigint, sum_start bigint, sum_before bigint, sum_end bigint")
-    per_doc = places.join(marks, "edge").groupBy("id", "tkey").agg(F.collect_list(F.struct(
+    per_doc = places.join(marks, "edge").groupBy("id", "tkey").agg(F.collect_set(F.struct(
         "edge", "source", "is_start", "is_end", "place", "sum_start", "sum_before", "sum_end")).alias("marks"))
     paths = stored(per_doc.mapInArrow(_paths, "id bigint, tkey bigint, path bigint, source bigint, start bigint, edges bigint, words_hash bigint"), "paths")
     sure = paths.groupBy("path").agg(F.min("words_hash").alias("h1"), F.max("words_hash").alias("h2"), F.min("edges").alias("e1"), F.max("edges").alias("e2"))
