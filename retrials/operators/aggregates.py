@@ -338,16 +338,16 @@ def distribution(df: DataFrame, cells: Sequence[str], metrics: Sequence[str]) ->
     return base.join(quantiles(long, keys, "value", {"median": 0.5, "q25": 0.25, "q75": 0.75}), keys)
 
 
-def mode_transitions(df: DataFrame, left: str, right: str, most: int) -> DataFrame:
-    """(k+1) x (k+1) counts of problems by success count under two modes, zero-filled."""
+def mode_transitions(df: DataFrame, left: str, right: str) -> DataFrame:
+    """(k+1) x (k+1) counts of problems by success count under two modes, zero-filled; k is the largest count seen."""
     y = F.col("correct").cast("int")
     per = df.groupBy("problem_id").agg(
-        F.least(F.sum(F.when(F.col("dataset") == left, y)), F.lit(most)).alias("from_successes"),
-        F.least(F.sum(F.when(F.col("dataset") == right, y)), F.lit(most)).alias("to_successes"),
+        F.sum(F.when(F.col("dataset") == left, y)).alias("from_successes"), F.sum(F.when(F.col("dataset") == right, y)).alias("to_successes"),
     ).where("from_successes is not null and to_successes is not null")
     counts = per.groupBy("from_successes", "to_successes").agg(F.count(F.lit(1)).alias("n"))
-    axis = F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long"))
-    grid = df.sparkSession.range(1).select(F.explode(axis).alias("from_successes")).select(
+    counts = materialize(counts)
+    axis = F.sequence(F.lit(0).cast("long"), F.col("most"))
+    grid = counts.agg(F.max(F.greatest("from_successes", "to_successes")).alias("most")).where("most is not null").select("most", F.explode(axis).alias("from_successes")).select(
         "from_successes", F.explode(axis).alias("to_successes")
     )
     direction = (

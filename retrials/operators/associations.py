@@ -49,9 +49,9 @@ def two_way_correlation(
     df: DataFrame, left: str, right: str, factors: tuple[str, str] = ("level", "category"),
     groups: Sequence[str] = (), sweeps: int = 8,
 ) -> DataFrame:
-    """Correlation of ranks after removing two additive fixed effects by alternating projection.
+    """Correlation of ranks after removing two additive fixed effects.
 
-    The projections only see cell sums, so the sweeps run on the (factor x factor) cell
+    The effects depend on cell counts and sums only, so they are fitted on the (factor x factor)
     table of a group, never on its rows.
     """
     keys, (f1, f2) = list(groups), factors
@@ -59,20 +59,24 @@ def two_way_correlation(
     ranked = materialize(mid_ranks(mid_ranks(clean, keys, left, "a"), keys, right, "b"))
     cells = ranked.groupBy(*keys, f1, f2).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"))
 
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+    def effects_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Fitted additive effects of each cell: each factor's effect in turn is the mean left by the other's."""
+        (i, _), (j, _) = pd.factorize(pdf[f1]), pd.factorize(pdf[f2])
+        count = np.zeros((i.max() + 1, j.max() + 1))
+        count[i, j] = pdf["n"]
         out = pdf.copy()
-        n = pdf["n"].to_numpy(float)
-        codes = [pd.factorize(pdf[f])[0] for f in (f1, f2)]
         for col in ("a", "b"):
-            r = pdf[col].to_numpy(float)
+            total = np.zeros_like(count)
+            total[i, j] = pdf["n"] * pdf[col]
+            second = np.zeros(count.shape[1])
             for _ in range(sweeps):
-                for c in codes:
-                    r = r - (np.bincount(c, n * r) / np.bincount(c, n))[c]
-            out[col] = pdf[col] - r
+                first = (total.sum(1) - count @ second) / count.sum(1)
+                second = (total.sum(0) - count.T @ first) / count.sum(0)
+            out[col] = first[i] + second[j]
         return out
 
     shape = cells.schema
-    effects = cells.groupBy(*keys).applyInPandas(sweep, shape).select(*keys, f1, f2, F.col("a").alias("ea"), F.col("b").alias("eb"))
+    effects = cells.groupBy(*keys).applyInPandas(effects_of, shape).select(*keys, f1, f2, F.col("a").alias("ea"), F.col("b").alias("eb"))
     rows = ranked.join(effects, [*keys, f1, f2])
     return rows.groupBy(*keys).agg(
         F.corr(F.col("a") - F.col("ea"), F.col("b") - F.col("eb")).alias("rho"), F.count(F.lit(1)).alias("n")

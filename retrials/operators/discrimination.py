@@ -69,8 +69,9 @@ def proper_scores(df: DataFrame, score: str, label: str, keys: Sequence[str] = (
 
 
 def probability_bin(p: Column, bins: int) -> Column:
-    """Equal-width bin, the last one closed at 1."""
-    return F.least(F.floor(p * bins), F.lit(bins - 1).cast("long"))
+    """Equal-width bin: how many of the edges k * (1 / bins), as doubles, are at most ``p``; the last one is closed at 1."""
+    edges = [k * (1.0 / bins) for k in range(1, bins)]
+    return sum(((p >= e).cast("long") for e in edges), F.lit(0).cast("long"))
 
 
 def reliability(df: DataFrame, score: str, label: str, bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:

@@ -114,18 +114,29 @@ def fit_predict(
     return predict(fit(materialize(shape(train)), label, **how), shape(apply)).drop(X)
 
 
+#: Bound of probabilities before the logit, inverse penalty of the recalibration.
+CLIP, PLATT_C = 1e-6, 0.1
+
+
 def logit(p: Column) -> Column:
-    q = F.least(F.greatest(F.nanvl(p, F.lit(0.5)), F.lit(1e-7)), F.lit(1 - 1e-7))
+    finite = F.when(F.isnan(p) | (F.abs(p) == float("inf")), F.lit(0.5)).otherwise(p)
+    q = F.least(F.greatest(finite, F.lit(CLIP)), F.lit(1 - CLIP))
     return F.ln(q / (1 - q))
 
 
 def platt(calibration: DataFrame, apply: DataFrame, label: str, score: str = P) -> DataFrame:
-    """One-feature logistic recalibration fitted on other rows only; adds calibrated and was_nan."""
+    """One-feature logistic recalibration fitted on other rows only; adds calibrated and was_nan.
+
+    The penalty is that of inverse strength ``PLATT_C`` on the summed loss.  Where the calibration
+    rows have one class, or all one score (a constant model), scores stay as they are."""
+    ready = apply.withColumn("was_nan", F.isnan(score))
+    seen = calibration.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(label).cast("int")).alias("classes"), (F.min(score) < F.max(score)).alias("varies")).first()
+    if seen["classes"] < 2 or not seen["varies"]:
+        return ready.withColumn("calibrated", F.col(score))
     rows = calibration.withColumn(X, array_to_vector(F.array(logit(F.col(score))))).withColumn(Y, F.col(label).cast("double"))
-    model = LogisticRegression(featuresCol=X, labelCol=Y, regParam=0.0, standardization=False, maxIter=200, tol=1e-6,
+    model = LogisticRegression(featuresCol=X, labelCol=Y, regParam=1.0 / (PLATT_C * seen["n"]), standardization=False, maxIter=200, tol=1e-8,
                                probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__hat").fit(rows)
-    ready = apply.withColumn(X, array_to_vector(F.array(logit(F.col(score))))).withColumn("was_nan", F.isnan(score))
-    return predict(model, ready, "calibrated").drop(X)
+    return predict(model, ready.withColumn(X, array_to_vector(F.array(logit(F.col(score))))), "calibrated").drop(X)
 
 
 def metric_report(scored: DataFrame, score: str, label: str, draws: int = B.DRAWS) -> DataFrame:
@@ -326,17 +337,27 @@ def coefficients(df: DataFrame, label: str, numeric: Sequence[str], top: int = 2
 def confirmatory(
     df: DataFrame, label: str, base: Sequence[str], extra: Sequence[str], folds: int = 5, draws: int = B.DRAWS
 ) -> DataFrame:
-    """Power gate, out-of-fold checks on train, one test run, and the clustered gain of ``extra``."""
+    """Power gate, out-of-fold checks, one test run, and the clustered gain of ``extra``.
+
+    Models learn from train and validation rows.  An endpoint that fails the gate isn't fitted: its
+    row has the gate's verdict and nulls."""
     rows = materialize(df)
-    gate = power_gate(rows.where("research_split = 'train'"), [], label, folds).select("powered", F.col("rows").alias("train_rows"))
-    train, test = rows.where("research_split = 'train'"), rows.where("research_split = 'test'")
+    train, test = rows.where("research_split in ('train', 'validation')"), rows.where("research_split = 'test'")
+    gate = materialize(power_gate(train, [], label, folds).select("powered", F.col("rows").alias("train_rows")))
+    if not gate.where("powered").count():
+        missing = {c: "double" for c in ("ci_low", "ci_high", "estimate", "base_oof_auroc", "oof_auroc")}
+        missing |= {"used_draws": "bigint", "skipped_draws": "bigint", "excludes_zero": "boolean", "outcome": "string", "meets_criterion": "boolean"}
+        return gate.withColumns({c: F.lit(None).cast(t) for c, t in missing.items()})
     a = fit_predict(train, test, label, base).select("run_id", F.col(P).alias("p_base"))
     b = fit_predict(train, test, label, [*base, *extra]).select("run_id", F.col(P).alias("p_full"))
     both = materialize(test.select("run_id", "problem_id", label).join(a, "run_id").join(b, "run_id"))
-    oof = D.auroc(materialize(group_oof(train, label, [*base, *extra], folds=folds)), P, label).select(F.col("auroc").alias("oof_auroc"))
+
+    def oof(features: Sequence[str], name: str) -> DataFrame:
+        return D.auroc(materialize(group_oof(train, label, features, folds=folds)), P, label).select(F.col("auroc").alias(name))
+
     delta = D.auroc(both, "p_full", label).select("auroc").scalar() - D.auroc(both, "p_base", label).select("auroc").scalar()
-    ci = B.paired_metric_difference(both, "p_base", "p_full", label, draws=draws)
-    return B.decision_flags(ci.withColumn("estimate", delta)).join(gate, F.lit(True)).join(oof, F.lit(True))
+    ci = B.decision_flags(B.paired_metric_difference(both, "p_base", "p_full", label, draws=draws).withColumn("estimate", delta))
+    return ci.join(gate, F.lit(True)).join(oof(base, "base_oof_auroc"), F.lit(True)).join(oof([*base, *extra], "oof_auroc"), F.lit(True))
 
 
 def arm_responses(train: DataFrame, apply: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ("model_key",)) -> DataFrame:

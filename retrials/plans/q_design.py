@@ -176,10 +176,10 @@ def _(spark, sf):
     return C.unpaired_keys(X.seeded(spark, sf, True).drop("seed").withColumnRenamed("mseed", "seed"), ["problem_id", "seed"], 2)
 
 
-@query("c06_panel_audit", """WITH e AS (SELECT problem_id, m, s FROM problems, (SELECT unnest(['m_F', 'm_O']) AS m), (SELECT unnest(range(1, 9)) AS s)), o AS (SELECT problem_id, model_key AS m, least(mseed, 30) AS s, count(*) AS c FROM seeded GROUP BY ALL)
+@query("c06_panel_audit", """WITH e AS (SELECT problem_id, m, s FROM problems, (SELECT unnest(['m_F', 'm_O']) AS m), (SELECT unnest(range(1, 9)) AS s)), o AS (SELECT problem_id, model_key AS m, mseed AS s, count(*) AS c FROM seeded GROUP BY ALL)
 SELECT (SELECT count(*) FROM e) AS expected, I((SELECT sum(c) FROM o)) AS observed, (SELECT count(*) FROM e ANTI JOIN o USING (problem_id, m, s)) AS missing, (SELECT count(*) FROM o ANTI JOIN e USING (problem_id, m, s)) AS unexpected, (SELECT count(*) FROM o WHERE c > 1) AS duplicate_keys""")
 def _(spark, sf):
-    seen = X.seeded(spark, sf, True).select("problem_id", "model_key", F.least("mseed", F.lit(30)).alias("seed"))
+    seen = X.seeded(spark, sf, True).select("problem_id", "model_key", F.col("mseed").alias("seed"))
     want = probs(spark, sf).select("problem_id", F.explode(F.array(F.lit("m_F"), F.lit("m_O"))).alias("model_key")).select(
         "problem_id", "model_key", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("seed"))
     return C.panel_audit(seen, want, ["problem_id", "model_key", "seed"])

@@ -121,12 +121,12 @@ def _(spark, sf):
 
 
 @query("a30_mode_transitions", """
-WITH p AS (SELECT problem_id, least(sum(correct::int) FILTER (dataset = 'gsm8k'), 6) AS f, least(sum(correct::int) FILTER (dataset = 'math'), 6) AS t FROM attempts GROUP BY 1),
- c AS (SELECT f, t, count(*) AS n FROM p WHERE f IS NOT NULL AND t IS NOT NULL GROUP BY ALL), g AS (SELECT a.x AS f, b.x AS t FROM (SELECT unnest(range(7)) AS x) a, (SELECT unnest(range(7)) AS x) b)
+WITH p AS (SELECT problem_id, sum(correct::int) FILTER (dataset = 'gsm8k') AS f, sum(correct::int) FILTER (dataset = 'math') AS t FROM attempts GROUP BY 1),
+ c AS (SELECT f, t, count(*) AS n FROM p WHERE f IS NOT NULL AND t IS NOT NULL GROUP BY ALL), k AS (SELECT unnest(range((SELECT max(greatest(f, t))::bigint + 1 FROM c))) AS x), g AS (SELECT a.x AS f, b.x AS t FROM k a, k b)
 SELECT I(g.f) AS from_successes, I(g.t) AS to_successes, I(coalesce(n, 0)) AS problems, CASE WHEN g.t > g.f THEN 'improved' WHEN g.t < g.f THEN 'worsened' ELSE 'unchanged' END AS direction
 FROM g LEFT JOIN c ON c.f = g.f AND c.t = g.t""")
 def _(spark, sf):
-    return A.mode_transitions(X.attempts(spark, sf), "gsm8k", "math", 6)
+    return A.mode_transitions(X.attempts(spark, sf), "gsm8k", "math")
 
 
 @query("a31_compute_frontier", """

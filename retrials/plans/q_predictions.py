@@ -23,7 +23,7 @@ def pred(spark, sf):
 
 
 AP = """SELECT {k} sum(pos*tp/seen)/nullif(sum(pos), 0) AS ap FROM (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS seen FROM {src} WINDOW w AS (PARTITION BY {p} ORDER BY {s} DESC)) {g}"""
-BIN = "least(floor({p}*10), 9)"
+BIN = "(" + " + ".join(f"({{p}} >= {k * 0.1!r}e0)::int" for k in range(1, 10)) + ")"
 
 
 @query("e02_average_precision", "WITH h AS (SELECT p3, sum(y) AS pos, sum(1-y) AS neg FROM predictions GROUP BY 1), a AS (" + AP.format(k="", src="h", p="1", s="p3", g="") + ") SELECT R(ap) AS average_precision FROM a")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file below ``root``."""
+    """Path relative to ``root``, size and SHA-256 of every file below it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    top = root.rstrip("/").split("://")[-1] + "/"
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.length("content").cast("long").alias("size_bytes"),
+        F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top))).alias("file"), F.col("length").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 
