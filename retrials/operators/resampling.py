@@ -20,7 +20,7 @@ from retrials.functions.ordered import cut_points, mid_ranks, position, running_
 from retrials.operators import discrimination as D
 from retrials.operators.sampling import with_count
 
-DRAWS = 200
+DRAWS = 2000
 
 
 def index_clusters(clusters: DataFrame, groups: Sequence[str], cluster: str) -> DataFrame:

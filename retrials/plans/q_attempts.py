@@ -15,7 +15,7 @@ LOO = """loo AS (SELECT a.*, (s - correct::int) / (k - 1) AS loo_rate, k, s / k
   (SELECT problem_id, sum(correct::int) AS s, count(*) AS k FROM attempts GROUP BY 1) t USING (problem_id) WHERE k >= 2)"""
 
 # Bootstrap slots over clusters c(problem_id): picks(draw, problem_id), one row per slot.
-def picks_sql(clusters: str, draws: int = 200, seed: str = "b") -> str:
+def picks_sql(clusters: str, draws: int = 2000, seed: str = "b") -> str:
     return f"""idx AS (SELECT problem_id, row_number() OVER (ORDER BY H('c:'||problem_id), problem_id) AS slot, count(*) OVER () AS slots FROM ({clusters})),
   picks AS (SELECT draw, p.problem_id FROM (
     SELECT draw, H('{seed}:'||draw||':'||slot) % slots + 1 AS pick FROM idx, (SELECT unnest(range({draws})) AS draw)) s

@@ -96,7 +96,7 @@ def _(spark, sf):
     return S.redundancy_matrix(X.attempts(spark, sf), "run_id", ["dataset", "model_key"], ["tokens", "discount", "tax"])
 
 
-def boot_sql(stats: str, sums: list[str], groups: list[str], draws: int = 200, seed: str = "b") -> str:
+def boot_sql(stats: str, sums: list[str], groups: list[str], draws: int = 2000, seed: str = "b") -> str:
     """CTE ``reps``: per (groups, draw) totals of per-cluster sums in ``stats`` (problem_id, groups, sums)."""
     g = "".join(f"{x}, " for x in groups)
     part = f"PARTITION BY {', '.join(groups)}" if groups else ""

@@ -200,7 +200,7 @@ def _(spark, sf):
 
 @query("b10_two_sample_interval", f"""WITH {Z}, s AS (SELECT correct::int AS side, problem_id, sum(z) AS t, count(z) AS n FROM z WHERE cohort = 'fixed' AND feature = 's1' AND prefix_length = 32 AND z IS NOT NULL GROUP BY ALL),
  x AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY H('c:'||problem_id), problem_id) AS slot, count(*) OVER (PARTITION BY side) AS slots FROM s),
- k AS (SELECT side, draw, H('b:'||side||':'||draw||':'||slot) % slots + 1 AS slot FROM x, (SELECT unnest(range(200)) AS draw)),
+ k AS (SELECT side, draw, H('b:'||side||':'||draw||':'||slot) % slots + 1 AS slot FROM x, (SELECT unnest(range(2000)) AS draw)),
  r AS (SELECT side, draw, sum(t)/sum(n) AS v FROM k JOIN x USING (side, slot) GROUP BY ALL),
  v AS (SELECT draw, max(v) FILTER (side = 0) - max(v) FILTER (side = 1) AS v FROM r GROUP BY 1)
 SELECT R((SELECT sum(t) FILTER (side=0)/sum(n) FILTER (side=0) - sum(t) FILTER (side=1)/sum(n) FILTER (side=1) FROM s)) AS difference,
