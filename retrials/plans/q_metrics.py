@@ -211,12 +211,12 @@ def _(spark, sf):
 
 
 @query("b09_spearman_interval", f"""WITH t AS (SELECT problem_id, round(avg(tax), 12) AS x, avg(correct::int) AS y FROM attempts GROUP BY 1),
- {picks_sql('SELECT problem_id FROM t', 100)}, r AS (SELECT draw, x, y FROM picks JOIN t USING (problem_id)),
+ {picks_sql('SELECT problem_id FROM t')}, r AS (SELECT draw, x, y FROM picks JOIN t USING (problem_id)),
  q AS (SELECT draw, {MR.format(k='draw', v='x')} AS a, {MR.format(k='draw', v='y')} AS b FROM r), v AS (SELECT draw, corr(a, b) AS v FROM q GROUP BY 1)
 SELECT {CI} FROM v""")
 def _(spark, sf):
     t = X.attempts(spark, sf).groupBy("problem_id").agg(F.round(F.avg("tax"), 12).alias("x"), F.avg(F.col("correct").cast("double")).alias("y"))
-    return B.spearman_interval(t, "x", "y", "problem_id", 100)
+    return B.spearman_interval(t, "x", "y", "problem_id")
 
 
 @query("b11_within_problem_interval", f"""WITH {WITHIN}, st AS (SELECT problem_id, auroc*failures AS t, failures::double AS n FROM per), {boot_sql('SELECT * FROM st', ['t', 'n'], [])}
@@ -227,13 +227,13 @@ def _(spark, sf):
 
 
 @query("b12_permutation_null", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY run_id) AS i FROM attempts),
- d AS (SELECT problem_id, p, correct AS y, row_number() OVER (PARTITION BY p, problem_id ORDER BY H('perm:'||p||':'||run_id), run_id) AS i FROM attempts, (SELECT unnest(range(4)) AS p)),
+ d AS (SELECT problem_id, p, correct AS y, row_number() OVER (PARTITION BY p, problem_id ORDER BY H('perm:'||p||':'||run_id), run_id) AS i FROM attempts, (SELECT unnest(range(12)) AS p)),
  j AS (SELECT p, problem_id, tokens, y::int AS y FROM t JOIN d USING (problem_id, i)), h AS (SELECT p, problem_id, tokens, sum(y) AS pos, sum(1-y) AS neg FROM j GROUP BY ALL),
  c AS (SELECT *, sum(neg) OVER (PARTITION BY p, problem_id ORDER BY tokens) AS b FROM h), a AS (SELECT p, problem_id, sum(pos*(b - neg/2.0))/(sum(pos)*sum(neg)) AS auroc, sum(neg) AS f FROM c GROUP BY ALL HAVING sum(pos)*sum(neg) > 0),
  s AS (SELECT p, sum(auroc*f)/sum(f) AS v FROM a GROUP BY 1)
 SELECT count(*) AS permutations, R(min(v)) AS null_min, R(max(v)) AS null_max FROM s""")
 def _(spark, sf):
-    perm = materialize(B.permuted_labels(X.attempts(spark, sf), 4))
+    perm = materialize(B.permuted_labels(X.attempts(spark, sf), 12))
     per = D.auroc(perm, "tokens", "permuted", ["permutation", "problem_id"]).where("auroc is not null")
     stat = per.groupBy("permutation").agg((F.sum(F.col("auroc") * F.col("negatives")) / F.sum("negatives")).alias("v"))
     return stat.agg(F.count(F.lit(1)).alias("permutations"), F.min("v").alias("null_min"), F.max("v").alias("null_max"))

@@ -133,3 +133,38 @@ def test_contracts_fail_closed(spark):
 def test_instability_of_two_in_four(spark):
     df = spark.createDataFrame([(1, s, s < 3, 1, "c") for s in range(1, 5)], "problem_id long, seed long, correct boolean, level long, category string")
     assert abs(A.seed_instability(df, []).first().seed_instability - 1.0) < 1e-12
+
+
+def test_bins_follow_the_edges_as_doubles(spark):
+    from retrials.operators import discrimination as D
+    got = spark.createDataFrame([(p,) for p in (0.0, 0.1, 0.3, 0.31, 0.6, 0.7, 0.70000001, 0.9, 1.0)], "p double").select(D.probability_bin(F.col("p"), 10).alias("b"))
+    assert [r.b for r in got.collect()] == [0, 1, 2, 3, 5, 6, 7, 9, 9]
+
+
+def test_manifest_keys_are_relative_paths(spark, tmp_path):
+    import hashlib
+
+    from retrials.sources.integrity import audit_files, file_manifest
+    for folder, body in (("a", b"one"), ("b/c", b"three")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "same.txt").write_bytes(body)
+    found = file_manifest(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [("a/same.txt", 3, hashlib.sha256(b"one").hexdigest()), ("b/c/same.txt", 5, hashlib.sha256(b"three").hexdigest())]
+    assert [r.status for r in audit_files(found, found).collect()] == ["ok", "ok"]
+
+
+def test_recalibration_falls_back_to_the_scores(spark):
+    from retrials.operators import models as K
+    one = spark.createDataFrame([(0.2, True), (0.7, True)], f"{K.P} double, y boolean")
+    out = K.platt(one, one, "y").collect()
+    assert [r.calibrated for r in out] == [0.2, 0.7]
+    both = spark.createDataFrame([(0.2, False), (0.7, True), (float("nan"), True), (float("inf"), False)] * 5, f"{K.P} double, y boolean")
+    out = K.platt(both, both, "y").collect()
+    assert all(0 < r.calibrated < 1 for r in out) and sum(r.was_nan for r in out) == 5
+
+
+def test_an_endpoint_without_power_is_not_fitted(spark):
+    from retrials.operators import models as K
+    rows = spark.createDataFrame([(f"r{i}", f"p{i}", "train", True, 1.0) for i in range(4)], "run_id string, problem_id string, research_split string, correct boolean, f double")
+    got = K.confirmatory(rows, "correct", ["f"], ["f"], folds=2, draws=5).collect()
+    assert len(got) == 1 and not got[0].powered and got[0].estimate is None and got[0].oof_auroc is None
