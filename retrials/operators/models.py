@@ -195,6 +195,44 @@ def grid(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
+#: Metrics of a paired contrast, and the point value of each.
+CONTRASTED = ("auroc", "average_precision", "brier", "ece")
+
+
+def contrast_grid(
+    cells: Mapping[tuple, DataFrame], names: Sequence[str], label: str, feature_sets: Mapping[str, Sequence[str]], baseline: str,
+    draws: int = B.DRAWS, metrics: Sequence[str] = CONTRASTED,
+) -> DataFrame:
+    """Named feature sets against one of them on the same test rows, in keyed subsets.
+
+    Per (cell, feature_set, metric): the interval of the set's metric minus the baseline's, problems
+    resampled; an underpowered cell is one row with that status and nulls.  A set with a column
+    that the rows lack is an error."""
+    out = []
+    for key, rows in cells.items():
+        missing = sorted({c for fs in feature_sets.values() for c in fs} - set(rows.columns))
+        if missing:
+            raise ValueError(f"feature sets name missing columns: {missing}")
+        tags = {n: F.lit(k) for n, k in zip(names, key)}
+        rows = materialize(rows)
+        if not viable(rows, label):
+            empty = {"feature_set": "string", "metric": "string", "ci_low": "double", "ci_high": "double", "used_draws": "bigint", "skipped_draws": "bigint"}
+            out.append(rows.agg(F.lit("underpowered").alias("status")).withColumns({c: F.lit(None).cast(t) for c, t in empty.items()} | tags))
+            continue
+        part = {s: rows.where(F.col("research_split") == s) for s in ("train", "validation", "test")}
+        both = part["test"].select("run_id", "problem_id", label)
+        for name, fs in feature_sets.items():
+            raw = materialize(fit_predict(part["train"], rows.where("research_split <> 'train'"), label, fs))
+            final = platt(raw.where("research_split = 'validation'"), raw.where("research_split = 'test'"), label)
+            both = both.join(final.select("run_id", F.col("calibrated").alias(f"p_{name}")), "run_id")
+        both = materialize(both)
+        for name in feature_sets:
+            for metric in metrics if name != baseline else ():
+                gain = B.paired_metric_difference(both, f"p_{baseline}", f"p_{name}", label, metric, draws=draws)
+                out.append(gain.withColumns({"feature_set": F.lit(name), "metric": F.lit(metric), "status": F.lit("fitted")} | tags))
+    return _stack(out)
+
+
 def out_of_fold(
     df: DataFrame, label: str, fit: Callable[[DataFrame, DataFrame], DataFrame], folds: int = 5, seed: str = "oof"
 ) -> DataFrame:
@@ -208,14 +246,12 @@ def group_oof(df: DataFrame, label: str, numeric: Sequence[str], categorical: Se
     return out_of_fold(df, label, lambda tr, te: fit_predict(tr, te, label, numeric, categorical), folds, seed)
 
 
-def nested_platt(df: DataFrame, label: str, numeric: Sequence[str], folds: int = 3, seed: str = "nested") -> DataFrame:
-    """Cross-fitted and cross-calibrated forecasts: neither model nor calibrator saw the row's problem."""
-    def fit(train: DataFrame, test: DataFrame) -> DataFrame:
-        inner = materialize(group_oof(train.drop("fold"), label, numeric, folds=folds, seed=seed + "-inner"))
-        scored = materialize(fit_predict(train, test, label, numeric))
-        return platt(inner, scored, label)
+def nested_platt(df: DataFrame, label: str, numeric: Sequence[str], folds: int = 4, seed: str = "nested") -> DataFrame:
+    """Cross-fitted and cross-calibrated forecasts: neither model nor calibrator saw the row's problem.
 
-    return out_of_fold(df, label, fit, folds, seed)
+    One base model a fold scores the rows left out; each fold's calibrator learns from the other folds' scores."""
+    oof = materialize(group_oof(df, label, numeric, folds=folds, seed=seed))
+    return _stack([platt(oof.where(F.col("fold") != k), oof.where(F.col("fold") == k), label) for k in range(folds)])
 
 
 def vector_probe(train: DataFrame, test: DataFrame, label: str, vec: str, components: int) -> DataFrame:
@@ -312,16 +348,18 @@ def plane_coordinates(states: DataFrame, train: Column, vec: str = "vec") -> Dat
 
 
 def transfer(df: DataFrame, group: str, label: str, numeric: Sequence[str], draws: int = B.DRAWS) -> DataFrame:
-    """Fit on one group's train rows, evaluate on another's test rows, all ordered pairs."""
+    """Fit on one group's train rows, calibrate on its validation rows, evaluate on another's test rows, all ordered pairs."""
     rows = materialize(df)
     groups = sorted(r[0] for r in rows.select(group).distinct().collect())
     out = []
     for a in groups:
-        scored = materialize(fit_predict(rows.where((F.col(group) == a) & (F.col("research_split") == "train")),
-                                         rows.where((F.col(group) != a) & (F.col("research_split") == "test")), label, numeric))
+        split = F.col("research_split")
+        raw = materialize(fit_predict(rows.where((F.col(group) == a) & (split == "train")), rows.where(
+            (F.col(group) == a) & (split == "validation") | (F.col(group) != a) & (split == "test")), label, numeric))
+        scored = materialize(platt(raw.where(split == "validation"), raw.where(split == "test"), label))
         for b in groups:
             if b != a:
-                out.append(metric_report(scored.where(F.col(group) == b), P, label, draws).withColumns({"source": F.lit(a), "target": F.lit(b)}))
+                out.append(metric_report(scored.where(F.col(group) == b), "calibrated", label, draws).withColumns({"source": F.lit(a), "target": F.lit(b)}))
     return _stack(out)
 
 

@@ -90,6 +90,13 @@ def _(spark, sf):
     return K.grid(cells, ["scope", "prefix_length"], "correct", EARLY, DRAWS)
 
 
+@query("k08_paired_contrasts")
+def _(spark, sf):
+    rows = early(spark, sf)
+    sets = {"level": ["mean"], "spread": ["mean", "std"], "shape": EARLY}
+    return K.contrast_grid({("pooled", p): rows.where(F.col("prefix_length") == p) for p in (16, 48)}, ["scope", "prefix_length"], "correct", sets, "level", DRAWS)
+
+
 @query("k09_future_length_grid")
 def _(spark, sf):
     rows = early(spark, sf).withColumn("long_run", (F.col("n") >= 63).cast("long"))
@@ -112,12 +119,12 @@ def _(spark, sf):
 
 @query("k11_group_out_of_fold")
 def _(spark, sf):
-    return K.group_oof(frame(spark, sf), "correct", FEATURES, folds=3).select("run_id", "fold", K.P)
+    return K.group_oof(frame(spark, sf), "correct", FEATURES).select("run_id", "fold", K.P)
 
 
 @query("k12_nested_platt")
 def _(spark, sf):
-    return K.nested_platt(early(spark, sf).where("prefix_length = 32"), "correct", EARLY, 2).select("run_id", "fold", K.P, "calibrated")
+    return K.nested_platt(early(spark, sf).where("prefix_length = 32"), "correct", EARLY).select("run_id", "fold", K.P, "calibrated")
 
 
 @query("k13_vector_probe")
@@ -153,7 +160,7 @@ def _(spark, sf):
 
 @query("k20_confirmatory_endpoint")
 def _(spark, sf):
-    return K.confirmatory(early(spark, sf).where("prefix_length = 32"), "correct", ["mean"], ["std", "slope"], 3, DRAWS)
+    return K.confirmatory(early(spark, sf).where("prefix_length = 32"), "correct", ["mean"], ["std", "slope"], draws=DRAWS)
 
 
 def controller(spark, sf):
