@@ -248,7 +248,7 @@ def _matched(length: int, part_rows: int = 2000):
     return run
 
 
-def repeated_spans(first: DataFrame, length: int, hot_rows: int = 5000) -> DataFrame:
+def repeated_spans(first: DataFrame, length: int, hot_rows: int = 1000) -> DataFrame:
     """(tkey, start, stop): byte ranges made of windows that occur elsewhere.  ``first``: (tkey, text), each text once."""
     sc = first.sparkSession.sparkContext
     seen = stored(first.mapInArrow(_anchor_rows(length), "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
