@@ -168,3 +168,16 @@ def test_an_endpoint_without_power_is_not_fitted(spark):
     rows = spark.createDataFrame([(f"r{i}", f"p{i}", "train", True, 1.0) for i in range(4)], "run_id string, problem_id string, research_split string, correct boolean, f double")
     got = K.confirmatory(rows, "correct", ["f"], ["f"], folds=2, draws=5).collect()
     assert len(got) == 1 and not got[0].powered and got[0].estimate is None and got[0].oof_auroc is None
+
+
+def test_whole_run_summary_is_that_of_a_prefix_of_full_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(r, i + 1, n, float(v) if v > -1.5 else None) for r, n in (("a", 90), ("b", 7), ("c", 1)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "run_id string, rn long, n long, s double")
+    whole = {r.run_id: r.asDict() for r in S.whole_run_summary(df, "s").collect()}
+    prefixed = df.withColumn("prefix_length", F.col("n"))
+    one = S.scalar_summary(prefixed, "s").join(S.theil_sen(prefixed, "s"), ["run_id", "prefix_length"], "left")
+    for r in one.collect():
+        for k, v in whole[r.run_id].items():
+            assert (v is None and r[k] is None) or v == r[k] or abs(v - r[k]) < 1e-9, (r.run_id, k, v, r[k])
+    assert len(whole) == one.count()
