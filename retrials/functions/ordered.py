@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from retrials.functions.lineage import materialize
 
-MAX_CUTS = 1024
+MAX_CUTS = 1 << 14
 _B = "__bucket"
 
 

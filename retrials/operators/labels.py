@@ -176,6 +176,7 @@ def advantage_crossing(
     return steps.groupBy(*ids, "delta").agg(F.min(F.when(ok, F.col("anchor"))).alias("crossing"))
 
 
+# Names of the regimes and the class of each.
 REGIME_CLASS = {
     "instant_scratch_solvable": "instant", "instant_prefix_advantaged": "instant", "instant_ambiguous": "instant",
     "budget_limited": "budget_limited", "prefix_limited": "prefix_limited",

@@ -17,19 +17,25 @@ from retrials.functions.ordered import index_bucket, quantiles, running_sum
 from retrials.operators.aggregates import melt
 from retrials.operators.contracts import require_all
 
-# Reasoning and answer markers.
-OPENERS = ("<think>", "[THINK]", "<|channel>thought")
-CLOSERS = ("</think>", "[/THINK]", "<channel|>")
-CLOSER_NAMES = ("think_tag", "mistral_think_tag", "gemma_thought_channel")
+# Reasoning markers (opener, closer, name of the boundary) and answer markers.
+REASONING = (("<think>", "</think>", "think_tag"), ("[THINK]", "[/THINK]", "mistral_think_tag"), ("<|channel>thought", "<channel|>", "gemma_thought_channel"))
 BOXES = ("\\boxed{", "\\fbox{")
 # Answer patterns, later ones tried only when the earlier find nothing.
 HASH_ANSWER = r"(?U)####\s*([^\n]+)"
 TEXT_ANSWERS = (r"(?iU)final\s+answer\s*(?:is|:)\s*([^\n]+)", r"(?iU)answer\s*(?:is|:)\s*([^\n]+)")
 LETTER_ANSWER = r"(?i)final answer is\s*:?\s*\**\(?([A-D])\)?"
+# What a plain answer loses, and the forms of a number.
+OUTER_DOLLARS, WRAPPER, END_MARKS = r"^\$+|\$+$", r"\\(?:text|mathrm|mathbf)\{([^{}]*)\}", r"[.,;]+$"
+FRACTION = r"^(-?\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)$"
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$|^[+-]?(?i:inf(?:inity)?|nan)$"
 # Finish reasons.
 NORMAL_FINISH = ("eos",)
 FORCED_FINISH = ("max_new_tokens", "answer_reserve")
 
+# What the surface of a text is counted by.
+SURFACE_PATTERNS = {"words": r"\S+", "numbers": r"-?\d+(?:\.\d+)?", "operators": r"[+\-*/=<>]", "equations": "="}
+
+OPENERS, CLOSERS = tuple(o for o, _, _ in REASONING), tuple(c for _, c, _ in REASONING)
 _MARK = re.compile(r"\\boxed\{|\\fbox\{|[{}]")
 
 
@@ -96,11 +102,11 @@ def _drop_first(text: Column, marker: str) -> Column:
 def split_reasoning(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds reasoning, final_part and boundary: cut at the last closing marker, else the last box."""
     t = F.col(text)
-    staged = df.withColumns({f"__c{k}": _last_index(t, m) for k, m in enumerate(CLOSERS)})
+    staged = df.withColumns({f"__c{k}": _last_index(t, m) for k, (_, m, _) in enumerate(REASONING)})
     staged = staged.withColumn("__box", F.greatest(*[_last_index(t, m) for m in BOXES]))
-    best = F.greatest(*[F.col(f"__c{k}") for k in range(len(CLOSERS))])
+    best = F.greatest(*[F.col(f"__c{k}") for k in range(len(REASONING))])
     reasoning = final = status = None
-    for k, (o, c, name) in enumerate(zip(OPENERS, CLOSERS, CLOSER_NAMES)):
+    for k, (o, c, name) in enumerate(REASONING):
         here = (best >= 0) & (F.col(f"__c{k}") == best)
         head = _drop_first(F.substr(t, F.lit(1), best), o)
         tail = F.substr(t, best + 1 + len(c))
@@ -116,10 +122,10 @@ def split_reasoning(df: DataFrame, text: str = "text") -> DataFrame:
 
 def plain_answer(value: Column) -> Column:
     """Answer without dollar signs, text wrappers, thin spaces, blanks and trailing marks."""
-    v = F.regexp_replace(strip(value), r"^\$+|\$+$", "")
-    v = F.regexp_replace(v, r"\\(?:text|mathrm|mathbf)\{([^{}]*)\}", "$1")
+    v = F.regexp_replace(strip(value), OUTER_DOLLARS, "")
+    v = F.regexp_replace(v, WRAPPER, "$1")
     v = F.replace(F.replace(v, F.lit("\\,"), F.lit("")), F.lit(" "), F.lit(""))
-    return F.regexp_replace(v, r"[.,;]+$", "")
+    return F.regexp_replace(v, END_MARKS, "")
 
 
 def numeric_value(value: Column) -> Column:
@@ -127,10 +133,8 @@ def numeric_value(value: Column) -> Column:
     v = F.replace(F.replace(plain_answer(value), F.lit(","), F.lit("")), F.lit("\\%"), F.lit("%"))
     percent = F.endswith(v, F.lit("%"))
     v = F.when(percent, F.substr(v, F.lit(1), F.length(v) - 1)).otherwise(v)
-    fraction = r"^(-?\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)$"
-    number = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$|^[+-]?(?i:inf(?:inity)?|nan)$"
-    parts = F.try_divide(F.regexp_extract(v, fraction, 1).try_cast("double"), F.regexp_extract(v, fraction, 2).try_cast("double"))
-    x = F.when(v.rlike(fraction), parts).when(v.rlike(number), v.try_cast("double"))
+    parts = F.try_divide(F.regexp_extract(v, FRACTION, 1).try_cast("double"), F.regexp_extract(v, FRACTION, 2).try_cast("double"))
+    x = F.when(v.rlike(FRACTION), parts).when(v.rlike(NUMBER), v.try_cast("double"))
     return F.when(percent, x / 100).otherwise(x)
 
 
@@ -188,10 +192,7 @@ def surface_counts(df: DataFrame, text: str) -> DataFrame:
     """Characters, whitespace tokens, numbers, operators and equality signs."""
     t = F.col(text)
     return df.select(
-        "*", F.length(t).cast("long").alias("characters"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("words"),
-        F.regexp_count(t, F.lit(r"-?\d+(?:\.\d+)?")).cast("long").alias("numbers"),
-        F.regexp_count(t, F.lit(r"[+\-*/=<>]")).cast("long").alias("operators"), F.regexp_count(t, F.lit("=")).cast("long").alias("equations"),
-    )
+        "*", F.length(t).cast("long").alias("characters"), *[F.regexp_count(t, F.lit(p)).cast("long").alias(n) for n, p in SURFACE_PATTERNS.items()])
 
 
 SURFACE = ("characters", "words", "numbers", "operators", "equations")
