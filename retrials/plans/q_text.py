@@ -157,8 +157,8 @@ def SH(src: str, name: str) -> str:
    FROM (SELECT id, norm, string_split(norm, ' ') AS w FROM {src}))"""
 
 
-def overlap_sql(t: float) -> str:
-    return f"""WITH {NORM}, {SH('dn', 'ds')}, {SH('bn', 'bs')}, dc AS (SELECT id, count(*) AS n FROM ds GROUP BY 1), bc AS (SELECT id, count(*) AS n FROM bs GROUP BY 1),
+def overlap_sql(t: float, norm: str = NORM) -> str:
+    return f"""WITH {norm}, {SH('dn', 'ds')}, {SH('bn', 'bs')}, dc AS (SELECT id, count(*) AS n FROM ds GROUP BY 1), bc AS (SELECT id, count(*) AS n FROM bs GROUP BY 1),
  ex AS (SELECT dn.id, min(bn.id) AS match_id FROM dn JOIN bn USING (norm) GROUP BY 1),
  pr AS (SELECT ds.id, bs.id AS b, count(*) AS o FROM ds JOIN bs USING (g) WHERE ds.id NOT IN (SELECT id FROM ex) GROUP BY ALL),
  j AS (SELECT pr.id, b, o/(dc.n + bc.n - o) AS s FROM pr JOIN dc ON dc.id = pr.id JOIN bc ON bc.id = b),
@@ -176,6 +176,17 @@ def _(spark, sf):
     return Q.overlap_audit(*pair(spark, sf), 0.92)
 
 
+# Documents that someone has labelled, against all the others: both kinds of overlap occur.
+LABELLED = NORM.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))").replace("item_id AS id", "doc_id AS id").replace(
+    "FROM benchmark)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
+
+
+@query("tj4_overlap_labelled", overlap_sql(0.92, LABELLED))
+def _(spark, sf):
+    d, seen = X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), X.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return Q.overlap_audit(d.join(seen, "id", "left_semi"), d.join(seen, "id", "left_anti"), 0.92)
+
+
 @query("tj4_overlap_audit_loose", overlap_sql(0.2))
 def _(spark, sf):
     return Q.overlap_audit(*pair(spark, sf), 0.2)
