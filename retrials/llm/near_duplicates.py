@@ -8,6 +8,7 @@ between classes.  Classes that share a band are candidates.  In a few rounds eac
 most alike of its bands' centres, which joins most groups with one check a class; then every candidate
 pair of classes that aren't yet in one component is checked.  Four bits of each slot make a sketch; a
 pair whose sketches agree in fewer slots than a pair at the limit does by five deviations isn't checked.
+For the last pairs the sketch has more slots, and shingles that no other class left holds bound the overlap.
 """
 
 from __future__ import annotations
@@ -44,11 +45,12 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], hashes[new]
 
 
-def super_minhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int, chunk: int = 100_000) -> np.ndarray:
+def super_minhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int, chunk: int | None = None) -> np.ndarray:
     """Signatures (n_rows x slots) of the rows' element sets, rank by rank for all elements at once."""
     sig = np.full((n_rows, slots), np.inf)
     steps = _STEP * np.arange(1, slots + 1, dtype=np.uint64)
     flat = sig.reshape(-1)
+    chunk = chunk or max(12_800_000 // slots, 1)
     for lo in range(0, len(rows), chunk):
         row, e = rows[lo: lo + chunk], elements[lo: lo + chunk]
         perm = np.tile(np.arange(slots, dtype=np.int16), (len(row), 1))
@@ -147,13 +149,36 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def finer(texts: DataFrame, k: int, slots: int) -> DataFrame:
+    """(node, fine, own): a sketch of ``slots`` slots, and how many shingles no other of the ``texts`` has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = byte_views(b.column(1))
+            for i, j in blocks(at):
+                row, e = shingles(Words(data, at[i: j + 1], lower=True), k)
+                sketch = sketches(super_minhash(row, e, j - i, slots))
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), fine], names=["node", "fine"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = byte_views(b.column(1))
+            for i, j in blocks(at):
+                row, e = shingles(Words(data, at[i: j + 1], lower=True), k)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + row)), pa.array(e.view(np.int64))], names=["node", "shingle"])
+
+    only = texts.mapInArrow(listed, "node bigint, shingle bigint").groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    own = only.groupBy("node").agg(F.count("*").alias("own"))
+    return texts.mapInArrow(run, "node bigint, fine array<bigint>").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = 2, fine_slots: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, tkey (64-bit hash of the text), n_shingles, component_id, n_links, kept.
 
     Words are lower-cased (A-Z) runs without ASCII white space; shingles are ``k`` words.  Links join
     documents with 100 * |intersection| >= percent * |union|; ``n_links`` counts the confirmed links
     of the document's class that the search used.  A pair at the limit misses every band with a
-    chance of (1 - 0.8^4)^32 = 5e-8, and its sketches agree too little with one of 3e-7.  Texts without words (null, empty) link with nothing and are
+    chance of (1 - 0.8^4)^32 = 5e-8, and its sketches agree too little with one of 3e-7 each.  Texts without words (null, empty) link with nothing and are
     their own component.  component_id is the smallest id of the component, null only if all its ids are;
     kept: doc_id is the component_id.  Repeated rows share a class.  Other columns are not read."""
     spark = docs.sparkSession
@@ -183,9 +208,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         links = stored(links.unionByName(confirmed(pairs.select("a", "b"), texts, k, percent)), "links")
         placed = stored(placed.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    placed = placed.join(mixed_keys, "key")
+    placed = stored(placed.join(mixed_keys, "key").select("key", "node", "size", "label"), "open")
+    left = stored(finer(texts.join(placed.select("node").distinct(), "node").select("node", "text"), k, fine_slots), "finer")
+    placed = placed.join(left, "node")
     p, q = placed.alias("p"), placed.alias("q")
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label")) & fits & (alike >= least))
+    most = F.least(F.col("p.size") - F.col("p.own"), F.col("q.size") - F.col("q.own"))  # of the overlap
+    could = 100 * most >= percent * (F.col("p.size") + F.col("q.size") - most)
+    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label")) & could
+                  & (agreeing_slots("p.fine", "q.fine", fine_slots // 16) >= least_agreement(fine_slots, percent)))
     rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
     links = links.unionByName(stored(confirmed(rest, texts, k, percent), "links"))
     grouped = components(links)
