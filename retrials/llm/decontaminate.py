@@ -12,6 +12,7 @@ and each block is held against all documents.  A block is what is broadcast, so
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from retrials.llm.common import NOT_ALNUM, Words, blocks, byte_views, mixed
 
-#: Span 12, weight 8: with any two masks, words ignored by one are mostly read by the other.
-MASKS = ("110100110111", "111011001011", "101101101101")
+#: Weight 6.  Every stretch of 13 words or more with over 80 % equal words, wherever the others stand, has a
+#: place where all words under one of these are equal (from 13 words on that takes up to 77 words to show:
+#: a longer stretch has 13 words with two others at most).
+MASKS = ("1110111", "111000001011")
 _TABLE_BITS = 22
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -39,6 +42,17 @@ def masked(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mixed(out)
 
 
+def whole_masks(n: int, others: int) -> list[str]:
+    """Masks over a whole item of ``n`` words: with up to ``others`` words unequal, one reads equal words only.
+
+    The words are cut into two parts more than that, and each choice of ``others`` parts is left unread."""
+    if not others:
+        return ["1" * n]
+    cuts = [n * k // (others + 2) for k in range(others + 3)]
+    return ["".join("0" * (b - a) if k in left else "1" * (b - a) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))
+            for left in combinations(range(others + 2), others)]
+
+
 class Block:
     """Seeds of a block of benchmark items."""
 
@@ -48,12 +62,14 @@ class Block:
         data, at = byte_views(pa.array([t for _, t in items], pa.string()))
         words = Words(data, at, lower=True, gaps=NOT_ALNUM)
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        span = len(masks[0])
-        self.masks = list(masks) + ["1" * n for n in sorted({len(w) for w in self.words if 0 < len(w) < span})]
-        seeds, owner, offset, which = [], [], [], []
+        most = lambda n: max(k for k in range(n) if n - k > self.penalty * k)  # noqa: E731  words that may differ
+        whole = [(n, mask) for n in sorted({len(w) for w in self.words if 0 < len(w) < min_words}) for mask in whole_masks(n, most(n))]
+        self.masks = list(masks) + [mask for _, mask in whole]
+        sizes = [None] * len(masks) + [n for n, _ in whole]
+        seeds, owner, offset = [], [], []
         for k, w in enumerate(self.words):
-            for m, mask in enumerate(self.masks):
-                if len(w) >= span if len(mask) == span and m < len(masks) else len(w) == len(mask):
+            for m, (mask, n) in enumerate(zip(self.masks, sizes, strict=True)):
+                if len(w) == n or n is None and len(w) >= max(min_words, len(mask)):
                     h = masked(w, mask, m)
                     seeds.append(h)
                     owner.append(np.full(len(h), k))
@@ -91,16 +107,25 @@ class Block:
         return [(row, item, a - int(words.first[row]), n, hit) for (row, item), (a, n, hit) in sorted(best.items())]
 
     def overlap(self, doc: np.ndarray, lo: int, hi: int, item: np.ndarray, start: int) -> tuple[int, int, int] | None:
-        """The best-scoring stretch along one diagonal: 1 for an equal word, -penalty for another, so
-        that its equal words are over 1 - tolerance of it.  It counts from ``min_words`` words, or the whole item, on."""
+        """A stretch along one diagonal with over 1 - tolerance of its words equal, of ``min_words`` words, or the whole item, or more.
+
+        It is the best-scoring one, 1 for an equal word, -penalty for another, where that is long
+        enough, else the longest with a score above 0."""
         a, b = max(lo, start), min(hi, start + len(item))
+        least = max(min(self.min_words, len(item)), 1)
+        if b - a < least:
+            return None
         same = doc[a:b] == item[a - start: b - start]
         total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -self.penalty))])
         low = np.minimum.accumulate(total)
         end = int(np.argmax(total - low))
         begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-        if end - begin < min(self.min_words, len(item)) or end == begin:
-            return None
+        if end - begin < least:
+            first = np.searchsorted(-low, -total, "right")  # the first place below each end
+            end = int(np.argmax(np.arange(len(total)) - first))
+            begin = int(first[end])
+            if end - begin < least:
+                return None
         return a + begin, end - begin, int(same[begin:end].sum())
 
 
@@ -122,8 +147,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = 1 <<
     """One row for each document and item that overlap: doc_id, item_id, first_word, n_words, n_matched, item_words.
 
     Words are lower-cased runs of ASCII letters, digits and characters beyond ASCII.  Null and empty
-    texts overlap nothing; repeated rows give repeated results; null ids are passed on.  Items shorter
-    than a mask are found whole and unchanged.  An empty table gives no rows; other columns are not read."""
+    texts overlap nothing; repeated rows give repeated results; null ids are passed on.  Items of under
+    ``min_words`` words are found whole, by the same share of equal words.  An empty table gives no rows; other columns are not read."""
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = src.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()

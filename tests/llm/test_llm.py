@@ -298,6 +298,38 @@ def test_decontaminate(spark, docs):
     assert decontaminate.find_overlaps(empty(spark), bench).count() == 0 and decontaminate.find_overlaps(both, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_all_over_the_limit():
+    """Every item of 1 to 21 words with any words changed, as long as over 80 % are equal; none at or under that."""
+    from itertools import combinations
+    for n in range(1, 22):
+        words = [f"w{i}" for i in range(n)]
+        block = decontaminate.Block([(1, " ".join(words))])
+        most = max(k for k in range(n) if n - k > 4 * k)
+        texts = [" ".join(["a", *("other" if i in gone else w for i, w in enumerate(words)), "b"]) for gone in combinations(range(n), most)]
+        if n <= 13:  # one more changed: under the limit
+            texts += [" ".join("other" if i in gone else w for i, w in enumerate(words)) for gone in combinations(range(n), most + 1)]
+        wanted = sum(1 for _ in combinations(range(n), most))
+        data, at = decontaminate.byte_views(decontaminate.pa.array(texts, decontaminate.pa.string()))
+        found = block.find(decontaminate.Words(data, at, lower=True, gaps=decontaminate.NOT_ALNUM))
+        assert [r for r, *_ in found] == list(range(wanted)), n
+        assert all(size >= min(13, n) and hit > 0.8 * size for _, _, _, size, hit in found)
+
+
+def test_decontaminate_masks_cover_long_stretches():
+    """Over all stretches of 13 to 77 words that no mask finds, the best has no more than 80 % equal words."""
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    span = max(map(len, decontaminate.MASKS))
+    last = np.arange(1 << span)  # the last words: 1 for an equal one
+    hit = np.any([(last & m) == m for m in masks], axis=0)
+    half = 1 << (span - 1)
+    best = np.full(half, -10**6)
+    best[0] = 0
+    for size in range(1, 78):
+        score = np.where(hit, -10**6, best[last >> 1] + np.where(last & 1, 1, -4))
+        best = np.maximum(score[:half], score[half:])
+        assert size < 13 or best.max() <= 0, size
+
+
 # ---------------------------------------------------------------- 10
 
 def brute_bytes(rows, length):
