@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in Spark column expressions only.
 
 A line's *limit* is judged per host: its normalised form is hashed and the distinct documents of
-the host that hold it are counted.  A document counts by its context, the smallest hash among
-its other lines, so that copies of one text count once and a copied article isn't boilerplate.
+the host that hold it are counted.  A document counts by the hash of its text, so that exact copies
+count once and a copied article isn't boilerplate.
 A line over the limit is taken out; a document of which too little is left is rejected.
 """
 
@@ -52,13 +52,13 @@ def line_id(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, min_left: float = 0.3, min_words: int = 20,
+def quality_rules(docs: DataFrame, max_docs: int = 10, min_left: float = 0.3, min_words: int = 20,
                   doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, left_words, n_lines_removed, kept, tkey (64-bit hash of the text), bad_lines (their ids).
 
-    A line goes if more than ``max_docs`` distinct documents of its host hold it and these are at
-    least ``min_share`` of all rows that hold it; a document goes if it fails the base rules
+    A line goes if more than ``max_docs`` distinct texts of its host hold it, however often each
+    stands there; a document goes if it fails the base rules
     (under ``min_words`` words, or over 30 % of words in repeated windows) or under ``min_left``
     of its words are left.  Null or empty text: no words, base_failed.
     A null host is a host.  Repeated rows count once for a line and each get their row.  Other
@@ -69,15 +69,11 @@ def quality_rules(docs: DataFrame, max_docs: int = 10, min_share: float = 0.5, m
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
     listed = src.select("id", "host", "key", F.transform(lines, lambda x: F.struct(
         line_id(normalised(x)).alias("line"), F.size(words_of(x)).alias("words"))).alias("lines"))
-    lowest = F.slice(F.array_sort(F.array_distinct(F.col("lines.line"))), 1, 2)
-    single = (listed.withColumn("low", lowest).select("id", "host", "key", "low", F.explode("lines").alias("x"))
-              .groupBy("id", "host", "key", F.col("x.line").alias("line"))
-              .agg(F.first("low").alias("low"), F.sum("x.words").alias("words"), F.count("*").alias("copies")))
-    context = F.when(F.get("low", F.lit(0)) == F.col("line"), F.coalesce(F.get("low", F.lit(1)), F.lit(-1))).otherwise(F.get("low", F.lit(0)))
-    single = stored(single.select("id", "host", "key", "line", "words", "copies", context.alias("context")), "lines")
-    common = (single.groupBy("host", "line", "context").agg(F.count("*").alias("rows"))
-              .groupBy("host", "line").agg(F.sum("rows").alias("rows"), F.count("*").alias("docs"))
-              .where((F.col("docs") > max_docs) & (F.col("docs") >= min_share * F.col("rows"))).select("host", "line"))
+    single = stored(listed.select("id", "host", "key", F.explode("lines").alias("x"))
+                    .groupBy("id", "host", "key", F.col("x.line").alias("line"))
+                    .agg(F.sum("x.words").alias("words"), F.count("*").alias("copies")), "lines")
+    common = (single.select("host", "line", "key").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
+              .where(F.col("docs") > max_docs).select("host", "line"))
     s, c = single.alias("s"), common.alias("c")
     gone = (s.join(c, F.col("s.host").eqNullSafe(F.col("c.host")) & (F.col("s.line") == F.col("c.line")), "left_semi")
             .groupBy("id", "host", "key").agg(F.sum("words").alias("gone"), F.sum("copies").alias("n_lines"), F.collect_set("line").alias("bad")))

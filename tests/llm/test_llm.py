@@ -90,6 +90,22 @@ def test_common_lines_go_and_copies_stay(spark):
     assert kept[0] == f"{body(0)}\n{body(1000)}" and kept[100] == rows[20][1] and 200 not in kept
 
 
+def test_shared_blocks_and_copied_pages_lose_their_common_lines(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    line = lambda name, i: f"{name}{letters(i)} and some more words"
+    block = [line("shared", j) for j in range(10)]
+    rows = [(i, "\n".join([*block, line("own", 2 * i), line("own", 2 * i + 1)]), "h") for i in range(40)]  # a block of ten lines, two of one's own
+    rows += [(100 + i, "\n".join([*block[:8]] + [line("other", 20 * i + j) for j in range(20)]), "g") for i in range(11)]  # just over the limit
+    rows += [(200 + i, "\n".join([*block[:8]] + [line("few", 20 * i + j) for j in range(20)]), "f") for i in range(10)]  # at the limit
+    rows += [(300 + i, "\n".join(["the same footer here"] + [line("page", 9 * (i // 5) + j) for j in range(9)]), "e") for i in range(60)]  # 12 texts, 5 copies each
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_lines_removed, r.kept) for r in quality_rules.quality_rules(df).collect()}
+    assert all(got[i] == (10, False) for i in range(40))  # depleted
+    assert all(got[100 + i] == (8, True) for i in range(11))
+    assert all(got[200 + i] == (0, True) for i in range(10))
+    assert all(got[300 + i] == (1, True) for i in range(60))
+
+
 # ---------------------------------------------------------------- 2
 
 def test_repeated_passages(spark, docs):
