@@ -16,7 +16,6 @@ from retrials.plans.q_tokens import cut, scoped
 from retrials.plans.registry import query
 
 FEATURES = ["price", "discount", "tax", "tokens"]
-DRAWS = 50
 
 
 def frame(spark, sf):
@@ -50,8 +49,8 @@ def _(spark, sf):
     rows = frame(spark, sf)
     tr, te = rows.where("research_split = 'train'"), rows.where("research_split = 'test'")
     out = te.select("run_id")
-    for kind, how in (("boosted", {"rounds": 5}), ("forest", {"trees": 10}), ("prior", {})):
-        out = out.join(K.fit_predict(tr, te, "correct", FEATURES, kind=kind, **how).select("run_id", F.col(K.P).alias(kind)), "run_id")
+    for kind in ("boosted", "forest", "prior"):
+        out = out.join(K.fit_predict(tr, te, "correct", FEATURES, kind=kind).select("run_id", F.col(K.P).alias(kind)), "run_id")
     return out
 
 
@@ -64,13 +63,13 @@ def _(spark, sf):
 
 @query("k06_split_evaluation")
 def _(spark, sf):
-    return K.evaluate(frame(spark, sf), "correct", FEATURES, ["category"], draws=DRAWS)
+    return K.evaluate(frame(spark, sf), "correct", FEATURES, ["category"])
 
 
 @query("k07_ablation_grid")
 def _(spark, sf):
     sets = {"cost": ["price", "tokens"], "all": FEATURES}
-    return K.ablation_grid(frame(spark, sf), "correct", sets, {"logistic": {}, "prior": {}}, DRAWS)
+    return K.ablation_grid(frame(spark, sf), "correct", sets, {"logistic": {}, "prior": {}})
 
 
 def early(spark, sf):
@@ -87,20 +86,20 @@ def _(spark, sf):
     rows = early(spark, sf)
     cells = {(sc, p): rows.where(F.col("prefix_length") == p).where(F.lit(True) if sc == "pooled" else F.col("model_key") == sc)
              for sc in ("pooled", "m0", "m1") for p in (16, 48)}
-    return K.grid(cells, ["scope", "prefix_length"], "correct", EARLY, DRAWS)
+    return K.grid(cells, ["scope", "prefix_length"], "correct", EARLY)
 
 
 @query("k08_paired_contrasts")
 def _(spark, sf):
     rows = early(spark, sf)
     sets = {"level": ["mean"], "spread": ["mean", "std"], "shape": EARLY}
-    return K.contrast_grid({("pooled", p): rows.where(F.col("prefix_length") == p) for p in (16, 48)}, ["scope", "prefix_length"], "correct", sets, "level", DRAWS)
+    return K.contrast_grid({("pooled", p): rows.where(F.col("prefix_length") == p) for p in (16, 48)}, ["scope", "prefix_length"], "correct", sets, "level")
 
 
 @query("k09_future_length_grid")
 def _(spark, sf):
     rows = early(spark, sf).withColumn("long_run", (F.col("n") >= 63).cast("long"))
-    return K.grid({(p,): rows.where(F.col("prefix_length") == p) for p in (8, 32)}, ["prefix_length"], "long_run", EARLY, DRAWS)
+    return K.grid({(p,): rows.where(F.col("prefix_length") == p) for p in (8, 32)}, ["prefix_length"], "long_run", EARLY)
 
 
 @query("k10_forecast_grid")
@@ -114,7 +113,7 @@ def _(spark, sf):
     def shape(df):
         return df.select(*keep).withColumn("research_split", by_problem("problem_id")).withColumn("time_log1p", F.log1p(F.col("forecast_token").cast("double")))
 
-    return K.grid({("horizon_512",): shape(hz), ("hazard",): shape(hd)}, ["table"], "target", ["time_log1p", "observed_token_count"], DRAWS)
+    return K.grid({("horizon_512",): shape(hz), ("hazard",): shape(hd)}, ["table"], "target", ["time_log1p", "observed_token_count"])
 
 
 @query("k11_group_out_of_fold")
@@ -129,18 +128,18 @@ def _(spark, sf):
 
 @query("k13_vector_probe")
 def _(spark, sf):
-    return K.probe_oof(materialize(X.vectors(spark, sf)), "correct", "vec", 16, 3).select("vec_id", "fold", K.P)
+    return K.probe_oof(materialize(X.vectors(spark, sf)), "correct", "vec").select("vec_id", "fold", K.P)
 
 
 @query("k14_centred_probe")
 def _(spark, sf):
     from retrials.operators.paths import centred
-    return K.probe_oof(materialize(centred(X.vectors(spark, sf))), "correct", "centred", 16, 3).select("vec_id", "fold", K.P)
+    return K.probe_oof(materialize(centred(X.vectors(spark, sf))), "correct", "centred").select("vec_id", "fold", K.P)
 
 
 @query("k15_problem_oracle")
 def _(spark, sf):
-    return K.problem_oracle(materialize(X.vectors(spark, sf)), components=8, folds=3)
+    return K.problem_oracle(materialize(X.vectors(spark, sf)))
 
 
 @query("k16_plane_coordinates")
@@ -150,7 +149,7 @@ def _(spark, sf):
 
 @query("k17_transfer")
 def _(spark, sf):
-    return K.transfer(frame(spark, sf), "model_key", "correct", FEATURES, DRAWS)
+    return K.transfer(frame(spark, sf), "model_key", "correct", FEATURES)
 
 
 @query("k18_coefficient_ranking")
@@ -160,7 +159,7 @@ def _(spark, sf):
 
 @query("k20_confirmatory_endpoint")
 def _(spark, sf):
-    return K.confirmatory(early(spark, sf).where("prefix_length = 32"), "correct", ["mean"], ["std", "slope"], draws=DRAWS)
+    return K.confirmatory(early(spark, sf).where("prefix_length = 32"), "correct", ["mean"], ["std", "slope"])
 
 
 def controller(spark, sf):

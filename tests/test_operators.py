@@ -181,3 +181,19 @@ def test_whole_run_summary_is_that_of_a_prefix_of_full_length(spark):
         for k, v in whole[r.run_id].items():
             assert (v is None and r[k] is None) or v == r[k] or abs(v - r[k]) < 1e-9, (r.run_id, k, v, r[k])
     assert len(whole) == one.count()
+
+
+def test_model_queries_use_the_defaults():
+    """The registered model queries cut neither draws, rounds, trees, components nor folds."""
+    import ast
+    from pathlib import Path
+
+    from retrials.plans import q_models
+    cut = {"draws", "rounds", "trees", "components", "folds"}
+    listed = {"evaluate", "ablation_grid", "grid", "contrast_grid", "fit_predict", "probe_oof", "problem_oracle", "transfer", "confirmatory"}
+    assert not hasattr(q_models, "DRAWS")
+    for call in ast.walk(ast.parse(Path(q_models.__file__).read_text())):
+        if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr in listed:
+            assert not cut & {k.arg for k in call.keywords}, ast.unparse(call)
+            assert not any(k.arg is None for k in call.keywords), ast.unparse(call)
+            assert not any(isinstance(a, ast.Constant) and isinstance(a.value, int) for a in call.args), ast.unparse(call)
