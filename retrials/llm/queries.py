@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrials.llm import chat_format, decontaminate, html_text, license_scan, mixing, near_duplicates, quality_rules, repeated_passages, rule_ensemble, suffix_array
+from retrials.llm import chat_format, decontaminate, fill_in_middle, html_text, license_scan, mixing, near_duplicates, quality_rules, repeated_passages, rule_ensemble, suffix_array, token_alignment, toxicity
 from retrials.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,33 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_array.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = token_alignment.align(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query()
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+OP13 = """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+h as (select *, ('0x' || h[1:8])::bigint % (n + 1) as c1, ('0x' || h[9:16])::bigint % (n + 1) as c2, ('0x' || h[17:24])::bigint % 100 as whole, ('0x' || h[25:32])::bigint % 100 as turned from d),
+f as (select *, least(c1, c2) as a, greatest(c1, c2) as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or whole >= 90 then 'plain'
+   when turned < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substring(t, 1, a) as prefix, substring(t, a + 1, b - a) as middle, substring(t, b + 1) as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256 from p
+"""
+
+
+@query(OP13)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
