@@ -3,7 +3,7 @@
 Both tokenise the whole text.  Where a token that begins with a space starts in both at one byte, the
 tokens before it share their end there: these anchors cut the document into windows of token ids.  A window's
 groups depend on its ids alone, so its alignment is kept in a memo under the tuple of ids and
-looked up from then on.  Within a window, groups end where both sides' byte offsets meet.
+looked up from then on, and equal windows of one block are looked up once.  Groups end where both sides' byte offsets meet.
 
 Tokens that end together have one's bytes end with the other's.  So the pairs that can ever occur are
 counted from the two vocabularies, whatever the corpus: up to ``max_pairs`` of them the table of counts
@@ -16,15 +16,21 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrials.llm.common import blocks, byte_views, stored
+from retrials.llm.common import BLOCK_BYTES, blocks, byte_views, mixed, powers, stored
 
 FOLDER = "/opt/tokenizers"
+# How byte-level files name their split of the text, and that split's pattern.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts over so many characters go to the tokenizers library, whose split has no limit.
+LONG_TEXT = 200_000
 MEMO_WINDOWS, MEMO_TOKENS = 200_000, 48
 _KINDS = "doc_id {}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, groups_sha256 string, pairs array<bigint>, times array<int>"
 
@@ -44,18 +50,26 @@ class Tokenizers:
     def __init__(self, byte_level: str, pieces: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(byte_level)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         symbol = byte_symbols()
-        entries = json.loads(byte_level)["model"]["vocab"]
+        model = json.loads(self.a.to_str())
+        entries, merges = model["model"]["vocab"], [x.split(" ") if isinstance(x, str) else x for x in model["model"]["merges"]]
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.bytes_a[i] = bytes(symbol[c] for c in entry) if all(c in symbol for c in entry) else entry.encode()
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size())]
+        # ids in merge order and GPT-2's split: then ranks give the same tokens, several times faster
+        special = {x["id"] for x in model["added_tokens"]}
+        low = len(set(entries.values()) - special) - len(merges)
+        self.ranks = None
+        if model["normalizer"] is None and model["pre_tokenizer"] == PRE_TOKENIZER and all(entries["".join(m)] == low + i for i, m in enumerate(merges)):
+            self.ranks = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks={x: i for i, x in enumerate(self.bytes_a) if i not in special}, special_tokens={})
         self.length_a, self.length_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([x[:1] == b" " for x in side]) for side in (self.bytes_a, self.bytes_b))
 
@@ -68,7 +82,12 @@ class Tokenizers:
         return Tokenizers._built[key]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        whole = [" " + t for t in texts]
+        if self.ranks is None:
+            a = [x.ids for x in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        else:
+            a = [self.ranks.encode_ordinary(t) if len(t) <= LONG_TEXT else self.a.encode(t, add_special_tokens=False).ids for t in whole]
+        return a, self.b.encode(texts, num_threads=1)
 
     def possible_pairs(self) -> int:
         """Id pairs of which one's bytes end with the other's: no others can end together."""
@@ -82,76 +101,127 @@ class Tokenizers:
                 + sum(n * a.get(x[i:], 0) for x, n in b.items() for i in range(1, len(x))))
 
 
-def groups_of(a: list[int], b: list[int], length_a: np.ndarray, length_b: np.ndarray, width: int) -> tuple[str, tuple[int, ...]]:
-    """The groups of one window as text, and the id pair that ends each as ``a * width + b``."""
-    ends_a, ends_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
-    _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-    text, pairs, i, j = [], [], 0, 0
-    for x, y in zip(at_a.tolist(), at_b.tolist(), strict=True):
-        text.append(f"{','.join(map(str, a[i: x + 1]))}|{','.join(map(str, b[j: y + 1]))}")
-        pairs.append(a[x] * width + b[y])
-        i, j = x + 1, y + 1
-    return ";".join(text), tuple(pairs)
+class Block:
+    """The tokens of some texts, all groups in order, and the windows that the anchors cut them into.
+
+    Groups are found for the block at once: both sides' bytes are the same, so their running totals meet at the
+    shared ends and at each end of a text."""
+
+    def __init__(self, t: Tokenizers, a: list[list[int]], b: list[list[int]]):
+        self.a, self.b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(t.length_a[self.a]), np.cumsum(t.length_b[self.b])
+        shared, self.last_a, self.last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        texts = np.cumsum([len(x) for x in a])
+        #: groups of text i: group_at[i] to group_at[i + 1]
+        self.group_at = np.concatenate([[0], np.searchsorted(self.last_a, texts - 1, "right")])
+        begin = np.zeros(len(shared), bool)
+        if len(shared):
+            first_a, first_b = (np.concatenate([[0], x[:-1] + 1]) for x in (self.last_a, self.last_b))
+            begin = t.spaced_a[self.a[first_a]] & t.spaced_b[self.b[first_b]]
+            begin[self.group_at[:-1][np.diff(self.group_at) > 0]] = True
+        #: first group of each window; windows of text i: window_at[i] to window_at[i + 1]
+        self.window = np.flatnonzero(begin)
+        self.window_at = np.searchsorted(self.window, self.group_at)
+
+    def bounds(self, last: np.ndarray) -> np.ndarray:
+        """First token of each window on one side, and the number of tokens."""
+        return np.concatenate([[0], last + 1])[np.append(self.window, len(last))]
+
+    def alike(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a window of each kind, the kind of each window): windows of one kind have equal ids on both sides."""
+        key, n = np.zeros(len(self.window), np.uint64), len(self.window)
+        if not n:
+            return self.window, self.window
+        sides = [(self.a, self.bounds(self.last_a)), (self.b, self.bounds(self.last_b))]
+        for ids, at in sides:
+            size = np.diff(at)
+            place = np.arange(len(ids)) - np.repeat(at[:-1], size)
+            value = mixed(ids.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
+            key = mixed(key + np.add.reduceat(value, at[:-1]) + mixed(size.astype(np.uint64)))
+        _, rep, kind = np.unique(key, return_index=True, return_inverse=True)
+        same = np.ones(n, bool)
+        for ids, at in sides:  # equal hashes are confirmed on the ids
+            size = np.diff(at)
+            other = rep[kind]
+            same &= size == size[other]
+            flat = np.repeat(at[other] - at[:-1], size) + np.arange(len(ids))
+            same &= np.logical_and.reduceat(ids == ids[np.minimum(flat, len(ids) - 1)], at[:-1])
+        odd = np.flatnonzero(~same)
+        kind[odd] = len(rep) + np.arange(len(odd))
+        return np.concatenate([rep, odd]), kind
 
 
 class Aligner:
-    """Aligns documents window by window; the memo starts anew when it is full, which changes no result."""
+    """Writes out groups window by window; the memo starts anew when it is full, which changes no result."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.t, self.width = tokenizers, len(tokenizers.bytes_b)
-        self.memo: dict[tuple[int, ...], tuple[str, tuple[int, ...]]] = {}
-
-    def window(self, a: list[int], b: list[int]) -> tuple[str, tuple[int, ...]]:
-        key = (*a, -1, *b)
-        found = self.memo.get(key)
-        if found is None:
-            found = groups_of(a, b, self.t.length_a, self.t.length_b, self.width)
-            if len(key) <= MEMO_TOKENS:
-                if len(self.memo) >= MEMO_WINDOWS:
-                    self.memo.clear()
-                self.memo[key] = found
-        return found
-
-    def document(self, whole: bytes, a: list[int], b: list[int]) -> tuple[str, list[int]] | None:
-        """Groups as text and the id pair that ends each; None where a side's joined bytes aren't the text's."""
-        t = self.t
-        if b"".join(map(t.bytes_a.__getitem__, a)) != whole or b"".join(map(t.bytes_b.__getitem__, b)) != whole:
-            return None
-        size_a, size_b = t.length_a[a], t.length_b[b]
-        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-        anchors = np.intersect1d(start_a[t.spaced_a[a]], start_b[t.spaced_b[b]], assume_unique=True)
-        cut_a = [0, *np.searchsorted(start_a, anchors[anchors > 0]).tolist(), len(a)]
-        cut_b = [0, *np.searchsorted(start_b, anchors[anchors > 0]).tolist(), len(b)]
-        text, pairs, window = [], [], self.window
-        for i in range(len(cut_a) - 1):
-            found = window(a[cut_a[i]: cut_a[i + 1]], b[cut_b[i]: cut_b[i + 1]])
-            text.append(found[0])
-            pairs.extend(found[1])
-        return ";".join(text), pairs
-
-
-def _aligned(files, keep_groups: bool, most: int = 1 << 19):
+        self.names = [str(i) for i in range(max(len(tokenizers.bytes_a), self.width))]
+        self.memo: dict[tuple[int, ...], str] = {}
+
+    def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both sides' ids; none for a text that either side doesn't give back."""
+        a, b = self.t.encode(texts)
+        for i, (text, x, y) in enumerate(zip(texts, a, b, strict=True)):
+            whole = (" " + text).encode()
+            if not text or b"".join(map(self.t.bytes_a.__getitem__, x)) != whole or b"".join(map(self.t.bytes_b.__getitem__, y)) != whole:
+                a[i], b[i] = [], []
+        return a, b
+
+    def written(self, block: Block) -> list[str]:
+        """The groups of each text."""
+        rep, kind = block.alike()
+        ids_a, ids_b, known = block.a.tolist(), block.b.tolist(), self.memo
+        named_a, named_b = (list(map(self.names.__getitem__, x)) for x in (ids_a, ids_b))
+        at_a, at_b, ends = (x.tolist() for x in (block.bounds(block.last_a), block.bounds(block.last_b), np.append(block.window, len(block.last_a))))
+        last_a, last_b, out = block.last_a.tolist(), block.last_b.tolist(), []
+        for w in rep.tolist():
+            i, j = at_a[w], at_b[w]
+            key = (*ids_a[i: at_a[w + 1]], -1, *ids_b[j: at_b[w + 1]])
+            text = known.get(key)
+            if text is None:
+                groups = []
+                for x, y in zip(last_a[ends[w]: ends[w + 1]], last_b[ends[w]: ends[w + 1]], strict=True):
+                    if i == x and j == y:
+                        groups.append(named_a[x] + "|" + named_b[y])
+                    else:
+                        groups.append(",".join(named_a[i: x + 1]) + "|" + ",".join(named_b[j: y + 1]))
+                    i, j = x + 1, y + 1
+                text = ";".join(groups)
+                if len(key) <= MEMO_TOKENS:
+                    if len(known) >= MEMO_WINDOWS:
+                        known.clear()
+                    known[key] = text
+            out.append(text)
+        texts, at = [out[k] for k in kind.tolist()], block.window_at.tolist()
+        return [";".join(texts[at[i]: at[i + 1]]) for i in range(len(at) - 1)]
+
+
+def _aligned(files, keep_groups: bool, most: int = BLOCK_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(Tokenizers.of(*files.value))
         for b in batches:
             _, offsets = byte_views(b.column(1))
             for i, j in blocks(offsets, most):
-                part = b.slice(i, j - i)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                counts, groups, digest, pairs, times = [], [], [], [], []
-                for text, a, c in zip(texts, *aligner.t.encode(texts), strict=True):
-                    found = aligner.document((" " + text).encode(), a, c) if text else None
-                    if found is None:
-                        a, c, found = [], [], ("", [])
-                    pair, n = np.unique(np.array(found[1], np.int64), return_counts=True)
-                    counts.append((len(a), len(c), len(found[1]), len(found[1])))
-                    groups.append(found[0] if keep_groups else None)
-                    digest.append(hashlib.sha256(found[0].encode()).hexdigest() if a else "")
-                    pairs.append(pair)
-                    times.append(n.astype(np.int32))
+                part, n = b.slice(i, j - i), j - i
+                a, c = aligner.tokens([x or "" for x in part.column(1).to_pylist()])
+                block = Block(aligner.t, a, c)
+                groups = aligner.written(block)
+                digest = [hashlib.sha256(g.encode()).hexdigest() if x else "" for g, x in zip(groups, a, strict=True)]
+                # the links of each text, equal ones counted
+                size = np.diff(block.group_at)
+                pair = block.a[block.last_a] * aligner.width + block.b[block.last_b]
+                row = np.repeat(np.arange(n), size)
+                order = np.lexsort((pair, row))
+                pair, row = pair[order], row[order]
+                new = np.ones(len(pair), bool)
+                new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                at = pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32))
+                counts = [pa.array(x, pa.int64()) for x in ([len(x) for x in a], [len(x) for x in c], size, size)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(x, pa.int64()) for x in zip(*counts, strict=True)), pa.array(groups, pa.string()), pa.array(digest, pa.string()),
-                     pa.array(pairs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
+                    [part.column(0), *counts, pa.array(groups if keep_groups else [None] * n, pa.string()), pa.array(digest, pa.string()),
+                     pa.ListArray.from_arrays(at, pa.array(pair[first])), pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(first, len(pair))).astype(np.int32)))],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "pairs", "times"])
     return run
 
