@@ -12,6 +12,7 @@ is sent to the tasks, beyond that documents join it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -122,33 +123,33 @@ class Block:
         #: first group of each window; windows of text i: window_at[i] to window_at[i + 1]
         self.window = np.flatnonzero(begin)
         self.window_at = np.searchsorted(self.window, self.group_at)
-
-    def bounds(self, last: np.ndarray) -> np.ndarray:
-        """First token of each window on one side, and the number of tokens."""
-        return np.concatenate([[0], last + 1])[np.append(self.window, len(last))]
-
-    def alike(self) -> tuple[np.ndarray, np.ndarray]:
-        """(a window of each kind, the kind of each window): windows of one kind have equal ids on both sides."""
-        key, n = np.zeros(len(self.window), np.uint64), len(self.window)
-        if not n:
-            return self.window, self.window
-        sides = [(self.a, self.bounds(self.last_a)), (self.b, self.bounds(self.last_b))]
-        for ids, at in sides:
-            size = np.diff(at)
-            place = np.arange(len(ids)) - np.repeat(at[:-1], size)
-            value = mixed(ids.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
-            key = mixed(key + np.add.reduceat(value, at[:-1]) + mixed(size.astype(np.uint64)))
-        _, rep, kind = np.unique(key, return_index=True, return_inverse=True)
-        same = np.ones(n, bool)
-        for ids, at in sides:  # equal hashes are confirmed on the ids
-            size = np.diff(at)
-            other = rep[kind]
-            same &= size == size[other]
-            flat = np.repeat(at[other] - at[:-1], size) + np.arange(len(ids))
-            same &= np.logical_and.reduceat(ids == ids[np.minimum(flat, len(ids) - 1)], at[:-1])
-        odd = np.flatnonzero(~same)
-        kind[odd] = len(rep) + np.arange(len(odd))
-        return np.concatenate([rep, odd]), kind
+        #: first token of each group and window on both sides, and the number of tokens
+        self.groups = [np.concatenate([[0], x + 1]) for x in (self.last_a, self.last_b)]
+        self.windows = [x[np.append(self.window, len(shared))] for x in self.groups]
+
+
+_SCRAMBLED = mixed(np.arange(1 << 17, dtype=np.uint64))
+
+
+def alike(*sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(one of each kind, the kind of each) of the parts that each side's bounds cut its ids into: parts of one kind have equal ids on every side."""
+    n = len(sides[0][1]) - 1
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sides, key = [(ids, at, np.diff(at)) for ids, at in sides], np.zeros(n, np.uint64)
+    for ids, at, size in sides:
+        value = _SCRAMBLED[ids] if ids.max() < len(_SCRAMBLED) else mixed(ids.astype(np.uint64))
+        place = np.arange(len(ids)) - np.repeat(at[:-1], size)
+        key = mixed(key + np.add.reduceat(value * powers(int(size.max()))[place], at[:-1]) + size.astype(np.uint64))
+    _, rep, kind = np.unique(key, return_index=True, return_inverse=True)
+    same, like = np.ones(n, bool), rep[kind]
+    for ids, at, size in sides:  # equal hashes are confirmed on the ids
+        same &= size == size[like]
+        flat = np.repeat(at[like] - at[:-1], size) + np.arange(len(ids))
+        same &= np.logical_and.reduceat(ids == ids[np.minimum(flat, len(ids) - 1)], at[:-1])
+    odd = np.flatnonzero(~same)
+    kind[odd] = len(rep) + np.arange(len(odd))
+    return np.concatenate([rep, odd]), kind
 
 
 class Aligner:
@@ -156,50 +157,46 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         self.t, self.width = tokenizers, len(tokenizers.bytes_b)
-        self.names = [str(i) for i in range(max(len(tokenizers.bytes_a), self.width))]
-        self.memo: dict[tuple[int, ...], str] = {}
+        self.memo: dict[tuple[bytes, bytes], str] = {}
 
     def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Both sides' ids; none for a text that either side doesn't give back."""
+        """Both sides' ids; none for a text that either side doesn't give back.  Ranks always give the bytes back."""
         a, b = self.t.encode(texts)
         for i, (text, x, y) in enumerate(zip(texts, a, b, strict=True)):
             whole = (" " + text).encode()
-            if not text or b"".join(map(self.t.bytes_a.__getitem__, x)) != whole or b"".join(map(self.t.bytes_b.__getitem__, y)) != whole:
+            kept = (self.t.ranks is not None or b"".join(map(self.t.bytes_a.__getitem__, x)) == whole) and b"".join(map(self.t.bytes_b.__getitem__, y)) == whole
+            if not text or not kept:
                 a[i], b[i] = [], []
         return a, b
 
     def written(self, block: Block) -> list[str]:
         """The groups of each text."""
-        rep, kind = block.alike()
-        ids_a, ids_b, known = block.a.tolist(), block.b.tolist(), self.memo
-        named_a, named_b = (list(map(self.names.__getitem__, x)) for x in (ids_a, ids_b))
-        at_a, at_b, ends = (x.tolist() for x in (block.bounds(block.last_a), block.bounds(block.last_b), np.append(block.window, len(block.last_a))))
-        last_a, last_b, out = block.last_a.tolist(), block.last_b.tolist(), []
-        for w in rep.tolist():
-            i, j = at_a[w], at_b[w]
-            key = (*ids_a[i: at_a[w + 1]], -1, *ids_b[j: at_b[w + 1]])
+        rep, kind = alike((block.a, block.groups[0]), (block.b, block.groups[1]))
+        at_a, at_b = (x.tolist() for x in block.groups)
+        names = [f"{','.join(map(str, block.a[at_a[g]: at_a[g + 1]].tolist()))}|{','.join(map(str, block.b[at_b[g]: at_b[g + 1]].tolist()))}" for g in rep.tolist()]
+        groups = list(map(names.__getitem__, kind.tolist()))
+        ends = np.append(block.window, len(groups))
+        rep, kind = alike((kind, ends))
+        ids_a, ids_b, known, out = block.a.astype(np.int32).tobytes(), block.b.astype(np.int32).tobytes(), self.memo, []
+        (a, a_end), (b, b_end), (g, g_end) = ((x[rep].tolist(), x[rep + 1].tolist()) for x in (*(4 * x for x in block.windows), ends))
+        for i in range(len(rep)):
+            key = ids_a[a[i]: a_end[i]], ids_b[b[i]: b_end[i]]  # the tuples of ids, packed
             text = known.get(key)
             if text is None:
-                groups = []
-                for x, y in zip(last_a[ends[w]: ends[w + 1]], last_b[ends[w]: ends[w + 1]], strict=True):
-                    if i == x and j == y:
-                        groups.append(named_a[x] + "|" + named_b[y])
-                    else:
-                        groups.append(",".join(named_a[i: x + 1]) + "|" + ",".join(named_b[j: y + 1]))
-                    i, j = x + 1, y + 1
-                text = ";".join(groups)
-                if len(key) <= MEMO_TOKENS:
+                text = ";".join(groups[g[i]: g_end[i]])
+                if a_end[i] - a[i] + b_end[i] - b[i] <= 4 * MEMO_TOKENS:
                     if len(known) >= MEMO_WINDOWS:
                         known.clear()
                     known[key] = text
             out.append(text)
-        texts, at = [out[k] for k in kind.tolist()], block.window_at.tolist()
+        texts, at = list(map(out.__getitem__, kind.tolist())), block.window_at.tolist()
         return [";".join(texts[at[i]: at[i + 1]]) for i in range(len(at) - 1)]
 
 
 def _aligned(files, keep_groups: bool, most: int = BLOCK_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(Tokenizers.of(*files.value))
+        gc.disable()  # the memo is large and holds no cycles
         for b in batches:
             _, offsets = byte_views(b.column(1))
             for i, j in blocks(offsets, most):
