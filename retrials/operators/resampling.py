@@ -1,16 +1,21 @@
 """Cluster bootstrap: whole problems are resampled, never rows.
 
 A draw has as many slots as there are clusters; slot i of draw d picks cluster
-``hash(seed, d, i) % n``.  Rows are collapsed to per-cluster sums first, so the
-fan-out is draws x clusters narrow rows, joined on a uniform key and combined on the
-map side by (group, draw).
+``hash(seed, d, i) % n``.  A cluster keeps the list of the draws that picked it, one entry a pick,
+so a table stays as long as it has clusters, whatever the number of draws.  Rows are
+collapsed to per-cluster sums first; a task adds ``value x multiplicity`` into one vector of draws per
+group, and only these vectors are shuffled.  Metrics on ordered scores carry such vectors
+through score ranges: each range gives its totals, and the ranges before it are added at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5, sha256
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrials.functions.keys import hash60
@@ -30,30 +35,127 @@ def index_clusters(clusters: DataFrame, groups: Sequence[str], cluster: str) ->
     return materialize(with_count(placed, groups, "slots"))
 
 
-def picks(indexed: DataFrame, groups: Sequence[str], draws: int, seed: str) -> DataFrame:
-    """(groups, draw, slot): one row per slot of every draw, ``slot`` being the picked cluster."""
-    # The index is small and its fan-out is not: spread it before exploding.
-    width = max(indexed.sparkSession.sparkContext.defaultParallelism, _shuffle_width(indexed))
-    fan = indexed.select(*groups, "slots", "slot").repartition(width, *groups, "slot").select(
-        *groups, "slots", F.col("slot").alias("__i"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"),
-    )
-    parts: list = [f"{seed}:"]
+#: Picks that a task turns into lists at a time, and slots that a row asks for.
+CHUNK_PICKS, CHUNK_SLOTS = 4_000_000, 64
+
+
+def _lists(keys: pa.RecordBatch, row: int, picks: np.ndarray, draws: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(picks, kind="stable")
+    slot, at = np.unique(picks[order], return_index=True)
+    same = pa.array(np.full(len(slot), row))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(draws[order]))
+    return pa.RecordBatch.from_arrays([*(c.take(same) for c in keys.columns), pa.array(slot), lists], names=[*keys.schema.names, "slot", "draws"])
+
+
+def _drawn(draws: int, keys: int):
+    """From (keys, start, slots, lo, hi): the clusters that slots lo to hi pick in any draw, with those draws."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = b.select(list(range(keys)))
+            start, slots, lo, hi = (b.column(keys + i).to_pylist() for i in range(4))
+            held: list[np.ndarray] = []
+            for r in range(b.num_rows):
+                heads = [f"{start[r]}{d}:".encode() for d in range(draws)]
+                for i in range(lo[r], hi[r] + 1):
+                    tail = str(i).encode()
+                    held.append(np.array([int.from_bytes(md5(h + tail).digest()[:8], "big") >> 4 for h in heads]) % slots[r] + 1)
+                if r + 1 == b.num_rows or start[r + 1] != start[r] or len(held) * draws >= CHUNK_PICKS:
+                    yield _lists(group, r, np.concatenate(held), np.tile(np.arange(draws, dtype=np.int32), len(held)))
+                    held = []
+    return run
+
+
+def draw_lists(indexed: DataFrame, groups: Sequence[str], draws: int, seed: str) -> DataFrame:
+    """(groups, slot, draws): of each cluster picked at all, the draws that picked it, as often as they did."""
+    parts: list = [F.lit(f"{seed}:")]
     for g in groups:
-        parts += [F.col(g), ":"]
-    chosen = hash60(*parts, F.col("draw"), ":", F.col("__i")) % F.col("slots") + 1
-    return fan.select(*groups, "draw", chosen.alias("slot"))
+        parts += [F.col(g).cast("string"), F.lit(":")]
+    sizes = indexed.groupBy(*groups).agg(F.count(F.lit(1)).alias("slots"))
+    asked = sizes.where("slots > 0").select(*groups, F.concat(*parts).alias("__start"), "slots", F.explode(F.sequence(F.lit(1).cast("long"), F.col("slots"), F.lit(CHUNK_SLOTS).cast("long"))).alias("__lo"))
+    asked = asked.where(F.col("__start").isNotNull()).withColumn("__hi", F.least(F.col("__lo") + (CHUNK_SLOTS - 1), F.col("slots")))
+    spread = asked.repartition(max(indexed.sparkSession.sparkContext.defaultParallelism, _shuffle_width(indexed))).sortWithinPartitions("__start")
+    kinds = "".join(f"`{g}` {indexed.schema[g].dataType.simpleString()}, " for g in groups)
+    lists = spread.mapInArrow(_drawn(draws, len(groups)), f"{kinds}slot bigint, draws array<int>")
+    return lists.groupBy(*groups, "slot").agg(F.flatten(F.collect_list("draws")).alias("draws"))
 
 
 def _shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def weight_vectors(clusters: DataFrame, cluster: str, draws: int = DRAWS, seed: str = "b") -> DataFrame:
+    """(cluster, draws): one row a cluster, with an empty list where no draw picked it."""
+    indexed = index_clusters(clusters.select(cluster).distinct(), [], cluster)
+    out = indexed.join(draw_lists(indexed, [], draws, seed), "slot", "left")
+    return out.select(cluster, F.coalesce("draws", F.array().cast("array<int>")).alias("draws"))
+
+
+def weight_digests(vectors: DataFrame, cluster: str, draws: int = DRAWS) -> DataFrame:
+    """Of each cluster: picks, draws that picked it, and the SHA-256 of its comma-joined weights in order of draw."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            weights = [np.bincount(x.values.to_numpy(), minlength=draws) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([int(w.sum()) for w in weights], pa.int64()), pa.array([int((w > 0).sum()) for w in weights], pa.int64()),
+                 pa.array([sha256(",".join(map(str, w.tolist())).encode()).hexdigest() for w in weights], pa.string())], names=[cluster, "picked", "draws_hit", "weights_sha256"])
+
+    return vectors.select(cluster, "draws").mapInArrow(run, f"`{cluster}` {vectors.schema[cluster].dataType.simpleString()}, picked bigint, draws_hit bigint, weights_sha256 string")
+
+
 def multiplicities(clusters: DataFrame, cluster: str, draws: int = DRAWS, seed: str = "b") -> DataFrame:
     """(draw, cluster, weight) for every cluster picked at least once."""
-    indexed = index_clusters(clusters.select(cluster).distinct(), [], cluster)
-    weights = picks(indexed, [], draws, seed).groupBy("draw", "slot").agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(indexed.select("slot", cluster), "slot").select("draw", cluster, "weight")
+    rows = weight_vectors(clusters, cluster, draws, seed).select(cluster, F.explode(F.col("draws").cast("array<bigint>")).alias("draw"))
+    return rows.groupBy("draw", cluster).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and each row's number of them."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(np.asarray(column.offsets))
+
+
+def _dense(keys: list[tuple], totals: np.ndarray, names: Sequence[str], schema: pa.Schema) -> pa.RecordBatch:
+    """One row a key with a vector of draws per value; ``totals``: keys x values x draws."""
+    n, values, draws = totals.shape
+    at = pa.array(np.arange(n + 1, dtype=np.int32) * draws)
+    columns = [pa.array([k[i] for k in keys], f.type) for i, f in enumerate(schema)] if len(schema) else []
+    return pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(at, pa.array(totals[:, v].reshape(-1))) for v in range(values))], names=[*schema.names, *names])
+
+
+def _summed(groups: int, sums: Sequence[str], draws: int, most: int = 64):
+    """From (groups, draws, sums): per group, vectors of the sums over the draws' picks; emitted again when many groups are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        schema = pa.schema([])
+        for b in batches:
+            schema = pa.schema([b.schema.field(i) for i in range(groups)])
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                keys = list(zip(*(c.to_pylist() for c in part.columns[:groups]), strict=True)) if groups else [()] * part.num_rows
+                flat, size = _flat(part.column(groups))
+                at = np.concatenate([[0], np.cumsum(size)])
+                values = [np.nan_to_num(part.column(groups + 1 + i).cast(pa.float64()).to_numpy(zero_copy_only=False)) for i in range(len(sums))]
+                ids = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+                of = np.array([ids[k] for k in keys])
+                for k, i in ids.items():
+                    rows = np.flatnonzero(of == i)
+                    mine = flat if len(ids) == 1 else np.concatenate([flat[at[r]: at[r + 1]] for r in rows])
+                    total = held.setdefault(k, np.zeros((len(sums), draws)))
+                    for v, x in enumerate(values):
+                        total[v] += np.bincount(mine, weights=np.repeat(x[rows], size[rows]), minlength=draws)
+                if len(held) > most:
+                    yield _dense(list(held), np.stack(list(held.values())), sums, schema)
+                    held = {}
+        if held:
+            yield _dense(list(held), np.stack(list(held.values())), sums, schema)
+    return run
+
+
+def summed_draws(rows: DataFrame, groups: Sequence[str], sums: Sequence[str], draws: int) -> DataFrame:
+    """Per (groups, draw) totals of ``sums`` over the rows (groups, draws, sums); the shuffle carries a vector per group and task."""
+    kinds = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in groups)
+    vectors = rows.select(*groups, "draws", *sums).mapInArrow(_summed(len(groups), list(sums), draws), f"{kinds}{', '.join(f'`{s}` array<double>' for s in sums)}")
+    each = vectors.select(*groups, F.posexplode(F.arrays_zip(*sums)).alias("draw", "__v"))
+    return each.groupBy(*groups, F.col("draw").cast("long").alias("draw")).agg(*[F.sum(F.col("__v")[s]).alias(s) for s in sums])
 
 
 def replicate_sums(
@@ -62,10 +164,8 @@ def replicate_sums(
 ) -> DataFrame:
     """Per (groups, draw) totals of per-cluster sums.  ``stats``: one row per (groups, cluster)."""
     indexed = index_clusters(stats, groups, cluster)
-    chosen = picks(indexed, groups, draws, seed)
-    return chosen.join(indexed.select(*groups, "slot", *sums), [*groups, "slot"]).groupBy(*groups, "draw").agg(
-        *[F.sum(s).alias(s) for s in sums]
-    )
+    chosen = draw_lists(indexed, groups, draws, seed)
+    return summed_draws(chosen.join(indexed.select(*groups, "slot", *sums), [*groups, "slot"]), groups, sums, draws)
 
 
 def interval(draws: DataFrame, groups: Sequence[str], value: str, prefix: str = "ci", level: float = 0.95) -> DataFrame:
@@ -112,26 +212,97 @@ def mean_of_means_interval(
     return ratio_interval(means.where(F.col("__m").isNotNull()), F.col("__m"), groups, cluster, draws, seed)
 
 
+_HISTOGRAM = ("pos", "neg")
+
+
+def _by_score(draws: int):
+    """From rows in order of score (score, draws, pos, neg): per score one sparse vector of both counts."""
+    def flush(held) -> pa.RecordBatch:
+        score, total = held
+        at = np.flatnonzero(total.any(axis=0))
+        one = pa.array([0, len(at)], pa.int32())
+        lists = [pa.ListArray.from_arrays(one, pa.array(x)) for x in (at.astype(np.int32), total[0][at], total[1][at])]
+        return pa.RecordBatch.from_arrays([score, *lists], names=["score", "draws", *_HISTOGRAM])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                score = part.column(0)
+                value = score.to_numpy(zero_copy_only=False)
+                new = np.concatenate([[True], value[1:] != value[:-1]])
+                of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+                flat, size = _flat(part.column(1))
+                place = np.repeat(of, size) * draws + flat
+                totals = np.stack([np.bincount(place, weights=np.repeat(part.column(2 + v).to_numpy(zero_copy_only=False), size), minlength=len(first) * draws).reshape(-1, draws) for v in range(2)], axis=1)
+                for i, r in enumerate(first.tolist()):
+                    if held is not None and held[0][0].as_py() == score[r].as_py():
+                        held[1][:] += totals[i]
+                        continue
+                    if held is not None:
+                        yield flush(held)
+                    held = score.slice(r, 1), totals[i].copy()
+        if held is not None:
+            yield flush(held)
+    return run
+
+
+def _scored(hist: DataFrame, cluster: str, score: str, draws: int, seed: str) -> DataFrame:
+    """(score, draws, pos, neg): sparse count vectors, at most one a score and task."""
+    indexed = index_clusters(hist.select(cluster).distinct(), [], cluster)
+    placed = hist.join(indexed.select(cluster, "slot"), cluster).join(draw_lists(indexed, [], draws, seed), "slot")
+    rows = placed.select(F.col(score).alias("score"), "draws", "pos", "neg").sortWithinPartitions("score")
+    return rows.mapInArrow(_by_score(draws), f"score {hist.schema[score].dataType.simpleString()}, draws array<int>, pos array<double>, neg array<double>")
+
+
 def replicate_histograms(
     hist: DataFrame, cluster: str, score: str, draws: int = DRAWS, seed: str = "b"
 ) -> DataFrame:
     """Per (draw, score) class counts from a per-cluster score histogram."""
-    indexed = index_clusters(hist.select(cluster).distinct(), [], cluster)
-    chosen = picks(indexed, [], draws, seed)
-    placed = hist.join(indexed.select(cluster, "slot"), cluster)
-    return chosen.join(placed.select("slot", score, "pos", "neg"), "slot").groupBy("draw", score).agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
+    each = _scored(hist, cluster, score, draws, seed).select(F.col("score").alias(score), F.explode(F.arrays_zip("draws", *_HISTOGRAM)).alias("__v"))
+    return each.groupBy(F.col("__v.draws").cast("long").alias("draw"), score).agg(F.sum("__v.pos").cast("long").alias("pos"), F.sum("__v.neg").cast("long").alias("neg"))
+
+
+def _wins(draws: int):
+    """From sparse vectors in order of score: the wins of a range's positives over its negatives, and both totals, by draw."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, score, now, total = None, None, np.zeros((2, draws)), np.zeros((3, draws))
+
+        def settle():
+            total[0] += now[0] * (total[2] + now[1] / 2)
+            total[1:] += now
+            now[:] = 0
+        for b in batches:
+            for r in range(b.num_rows):
+                x = b.column(0)[r].as_py()
+                if x != score:
+                    settle()
+                    score, first = x, b.column(0).slice(r, 1) if first is None else first
+                at = b.column(1)[r].values.to_numpy()
+                for v in range(2):
+                    now[v][at] += b.column(2 + v)[r].values.to_numpy()
+        if first is not None:
+            settle()
+            one = pa.array([0, draws], pa.int32())
+            yield pa.RecordBatch.from_arrays([first, *(pa.ListArray.from_arrays(one, pa.array(t)) for t in total)], names=["first", "wins", *_HISTOGRAM])
+    return run
 
 
 def replicate_auroc(
     hist: DataFrame, score: str, cluster: str = "problem_id", draws: int = DRAWS, seed: str = "b"
 ) -> DataFrame:
-    """(draw, value) of AUROC from a per-cluster score histogram."""
+    """(draw, value) of AUROC from a per-cluster score histogram; NULL where a draw lacks a class.
+
+    Scores are dealt out in ranges, equal ones together.  A range's negatives lose to the positives of all later ranges."""
     hist = materialize(hist)
-    reps = materialize(replicate_histograms(hist, cluster, score, draws, seed))
-    cuts = cut_points(hist.select(score).distinct(), [score])
-    return D.auroc_from_histogram(reps, ["draw"], score, cuts).select("draw", F.col("auroc").alias("value"))
+    rows = _scored(hist, cluster, score, draws, seed).repartitionByRange(_shuffle_width(hist), "score").sortWithinPartitions("score")
+    ranges = rows.mapInArrow(_wins(draws), f"first {hist.schema[score].dataType.simpleString()}, wins array<double>, pos array<double>, neg array<double>")
+    each = ranges.select("first", F.posexplode(F.arrays_zip("wins", *_HISTOGRAM)).alias("draw", "__v")).select("first", "draw", "__v.*")
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy("draw").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = each.withColumn("__b", before).groupBy(F.col("draw").cast("long").alias("draw")).agg(
+        F.sum(F.col("wins") + F.col("pos") * F.col("__b")).alias("__w"), F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    return total.select("draw", F.when(F.col("__p") * F.col("__n") > 0, F.col("__w") / (F.col("__p") * F.col("__n"))).alias("value"))
 
 
 def replicate_metric(
@@ -161,10 +332,8 @@ def replicate_metric(
             F.sum(score).alias("sp"), F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n")
         )
         indexed = index_clusters(df.select(cluster).distinct(), [], cluster)
-        placed = stats.join(indexed.select(cluster, "slot"), cluster)
-        per_bin = picks(indexed, [], draws, seed).join(placed, "slot").groupBy("draw", "bin").agg(
-            F.sum("sp").alias("sp"), F.sum("sy").alias("sy"), F.sum("n").alias("n")
-        )
+        placed = stats.join(indexed.select(cluster, "slot"), cluster).join(draw_lists(indexed, [], draws, seed), "slot")
+        per_bin = summed_draws(placed, ["bin"], ["sp", "sy", "n"], draws)
         return per_bin.groupBy("draw").agg(
             (F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n")).alias("value")
         )
@@ -228,7 +397,8 @@ def spearman_interval(
     """
     table = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*groups, cluster, left, right)
     indexed = index_clusters(table, groups, cluster)
-    chosen = picks(indexed, groups, draws, seed).groupBy(*groups, "draw", "slot").agg(F.count(F.lit(1)).alias("w"))
+    chosen = draw_lists(indexed, groups, draws, seed).select(*groups, "slot", F.explode(F.col("draws").cast("array<bigint>")).alias("draw"))
+    chosen = chosen.groupBy(*groups, "draw", "slot").agg(F.count(F.lit(1)).alias("w"))
     rows = materialize(chosen.join(indexed.select(*groups, "slot", left, right), [*groups, "slot"]))
     keys = [*groups, "draw"]
     for col, name in ((left, "ra"), (right, "rb")):

@@ -101,10 +101,10 @@ def _(spark, sf):
     return M.evenly_spaced(rows, ["correct"], ["level", "tokens", "run_id"], 20).select("run_id", "correct", "rank")
 
 
-@query("m15_problem_folds", """WITH m AS (SELECT problem_id, I(CASE WHEN min(correct::int) = max(correct::int) THEN min(correct::int) ELSE 2 END) AS class_mix FROM attempts WHERE tokens % 3 = 0 GROUP BY 1)
+@query("m15_problem_folds", """WITH m AS (SELECT problem_id, I(CASE WHEN min(correct::int) = max(correct::int) THEN min(correct::int) ELSE 2 END) AS class_mix FROM attempts GROUP BY 1)
 SELECT problem_id, class_mix, I((row_number() OVER (PARTITION BY class_mix ORDER BY H('m15:'||problem_id), problem_id) - 1) % 5) AS fold FROM m""")
 def _(spark, sf):
-    return M.problem_folds(X.attempts(spark, sf).where("tokens % 3 = 0"), "m15", 5)
+    return M.problem_folds(X.attempts(spark, sf), "m15", 5)
 
 
 @query("m16_sample_folds", "SELECT run_id, I((row_number() OVER (PARTITION BY problem_id, correct ORDER BY H('m16:'||run_id), run_id) - 1) % 5) AS fold FROM attempts")

@@ -182,9 +182,11 @@ def _(spark, sf):
     return D.within_problem_summary(D.within_problem(X.attempts(spark, sf), "tokens", "correct"))
 
 
-@query("b01_replicate_weights", f"WITH {picks_sql('SELECT DISTINCT problem_id FROM attempts', 20)} SELECT I(draw) AS draw, problem_id, count(*) AS weight FROM picks GROUP BY ALL")
+@query("b01_replicate_weights", f"""WITH {picks_sql('SELECT DISTINCT problem_id FROM attempts')}, w AS (SELECT problem_id, draw, count(*) AS w FROM picks GROUP BY ALL)
+SELECT problem_id, I(sum(coalesce(w, 0))) AS picked, I(count(w)) AS draws_hit, sha256(string_agg(coalesce(w, 0)::varchar, ',' ORDER BY draw)) AS weights_sha256
+FROM (SELECT * FROM (SELECT DISTINCT problem_id FROM attempts), (SELECT unnest(range(2000)) AS draw)) LEFT JOIN w USING (problem_id, draw) GROUP BY problem_id""")
 def _(spark, sf):
-    return B.multiplicities(X.attempts(spark, sf), "problem_id", 20)
+    return B.weight_digests(B.weight_vectors(X.attempts(spark, sf), "problem_id"), "problem_id")
 
 
 @query("b02_ratio_interval", f"""WITH st AS (SELECT model_key, problem_id, sum(correct::int)::double AS t, count(*)::double AS n FROM attempts GROUP BY ALL), {boot_sql('SELECT * FROM st', ['t', 'n'], ['model_key'])},
