@@ -27,7 +27,7 @@ def words_of(text: Column) -> Column:
 def repeated_window_words(words: Column, prefix: str, df: DataFrame, width: int = 8) -> DataFrame:
     """Add ``prefix``: words inside windows of ``width`` words that occur twice or more in the text.
 
-    Windows are compared by a 64-bit hash; their starts are sorted by it, never compared pairwise."""
+    ``words``: a 64-bit hash of each word.  Windows are compared by a 64-bit hash of those; their starts are sorted by it, never compared pairwise."""
     h, s, p = (f"{prefix}_{x}" for x in "hsp")
     df = df.withColumn(h, F.when(F.size(words) > width, F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, width)))))
@@ -48,8 +48,8 @@ def normalised(line: Column) -> Column:
 
 
 def line_id(line: Column) -> Column:
-    """60 bits of the line's MD5."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+    """The line's 64-bit hash."""
+    return F.xxhash64(line)
 
 
 def quality_rules(docs: DataFrame, max_docs: int = 10, min_left: float = 0.3, min_words: int = 20,
@@ -61,32 +61,32 @@ def quality_rules(docs: DataFrame, max_docs: int = 10, min_left: float = 0.3, mi
     stands there; a document goes if it fails the base rules
     (under ``min_words`` words, or over 30 % of words in repeated windows) or under ``min_left``
     of its words are left.  Null or empty text: no words, base_failed.
-    A null host is a host.  Repeated rows count once for a line and each get their row.  Other
-    columns of ``docs`` are not read; an empty table gives no rows."""
+    A null host is a host.  Repeated rows count once for a line, and each gets its row with the same values.  A text is
+    taken whole, however long, in one row; ties don't arise.  Other columns of ``docs`` are not read; an empty table gives no rows.
+    The texts are read once, into the counts and line hashes that everything else works on."""
     src = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
     src = src.withColumn("key", F.xxhash64("text"))
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
-    listed = src.select("id", "host", "key", F.transform(lines, lambda x: F.struct(
-        line_id(normalised(x)).alias("line"), F.size(words_of(x)).alias("words"))).alias("lines"))
-    single = stored(listed.select("id", "host", "key", F.explode("lines").alias("x"))
-                    .groupBy("id", "host", "key", F.col("x.line").alias("line"))
-                    .agg(F.sum("x.words").alias("words"), F.count("*").alias("copies")), "lines")
+    # words never reach over a line's end, so one split by lines and words serves every count
+    split = src.withColumn("lined", lines).withColumn("parts", F.transform("lined", words_of))
+    split = split.withColumn("hashes", F.flatten(F.transform("parts", lambda x: F.transform(x, lambda w: F.xxhash64(w)))))
+    stats = repeated_window_words(F.col("hashes"), "n_repeat_words", split).select(
+        "id", "host", "key", F.size("hashes").cast("long").alias("n_words"),
+        F.length(F.translate(body, WHITE, "")).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("lined") - F.size(F.array_distinct("lined"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+        F.transform("lined", lambda x, i: F.struct(line_id(normalised(x)).alias("line"), F.size(F.get("parts", i)).alias("words"))).alias("lines"))
+    stats = stored(stats.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "statistics")
+    single = (stats.select("id", "host", "key", "lines").dropDuplicates(["id", "host", "key"]).select("id", "host", "key", F.explode("lines").alias("x"))
+              .groupBy("id", "host", "key", F.col("x.line").alias("line")).agg(F.sum("x.words").alias("words"), F.count("*").alias("copies")))
+    single = stored(single, "lines")
     common = (single.select("host", "line", "key").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
               .where(F.col("docs") > max_docs).select("host", "line"))
     s, c = single.alias("s"), common.alias("c")
     gone = (s.join(c, F.col("s.host").eqNullSafe(F.col("c.host")) & (F.col("s.line") == F.col("c.line")), "left_semi")
             .groupBy("id", "host", "key").agg(F.sum("words").alias("gone"), F.sum("copies").alias("n_lines"), F.collect_set("line").alias("bad")))
-
-    stats = src.withColumn("words", words_of(body)).withColumn("lined", lines)
-    stats = repeated_window_words(F.col("words"), "n_repeat_words", stats)
-    stats = stats.select(
-        "id", "host", "key", F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate(body, WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lined") - F.size(F.array_distinct("lined"))).cast("long").alias("n_dup_lines"), "n_repeat_words")
-    stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    d, g = stored(stats, "statistics").alias("d"), gone.alias("g")
+    d, g = stats.drop("lines").alias("d"), gone.alias("g")
     both = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & F.col("d.host").eqNullSafe(F.col("g.host")) & (F.col("d.key") == F.col("g.key")), "left")
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
     return both.select(

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrials.llm.common import BLOCK_BYTES, blocks, byte_views, mixed, powers, sliding_min, stored
@@ -259,49 +259,70 @@ def repeated_spans(first: DataFrame, length: int, hot_rows: int = 1000) -> DataF
     return suffixes.where("settled").select("tkey", "start", (F.col("last") + length).alias("stop")).unionByName(found)
 
 
-def _cut_bytes(length: int, as_text: bool):
+def _without(raw: bytes, spans, whole: bool) -> tuple[bytes, int]:
+    """What is left without the spans, and how many runs went; ``whole``: everything goes."""
+    merged: list[list[int]] = []
+    for s in [(0, len(raw))] if whole else sorted((x["start"], x["stop"]) for x in spans or ()):
+        if merged and s[0] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], s[1])
+        else:
+            merged.append([s[0], s[1]])
+    cuts = [0, *(x for s in merged for x in s), len(raw)]
+    return b"".join(raw[cuts[i]: cuts[i + 1]] for i in range(0, len(cuts), 2)), len(merged)
+
+
+def _cut_bytes(length: int, as_text: bool, passages: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                size, gone, runs, kept = [], [], [], []
-                for text, spans, copy in zip(part.column(1), part.column(2), part.column(3), strict=True):
-                    raw = (text.as_py() or "").encode()
-                    merged: list[list[int]] = []
-                    for s in sorted((x["start"], x["stop"]) for x in spans.as_py() or ()):
-                        if merged and s[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], s[1])
-                        else:
-                            merged.append([s[0], s[1]])
-                    if copy.as_py() and len(raw) >= length:
-                        merged = [[0, len(raw)]]
-                    cuts = [0, *(x for s in merged for x in s), len(raw)]
-                    left = b"".join(raw[cuts[i]: cuts[i + 1]] for i in range(0, len(cuts), 2))
+                size, gone, runs, kept, rest = [], [], [], [], []
+                for text, spans, shorter, copy in zip(*(c.to_pylist() for c in part.columns[1:5]), strict=True):
+                    raw = (text or "").encode()
+                    left, n = _without(raw, spans, copy and len(raw) >= length)
                     size.append(len(raw))
                     gone.append(len(raw) - len(left))
-                    runs.append(len(merged))
+                    runs.append(n)
                     kept.append(left.decode(errors="ignore") if as_text else left)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(kept, pa.string() if as_text else pa.binary()), *part.columns[4:]],
-                                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *part.schema.names[4:]])
+                    rest.append(_without(raw, shorter, copy and len(raw) >= passages)[0].decode(errors="ignore") if passages else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(rest, pa.string()), *part.columns[5:]],
+                                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "left_text", *part.schema.names[5:]])
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def longest_run(spans: Column) -> Column:
+    """Bytes of the longest run that the spans cover together."""
+    step = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("stop"), F.lit(0).cast("long").alias("most")),
+                       lambda a, x: F.struct(F.when(x["start"] <= a["stop"], a["start"]).otherwise(x["start"]).alias("start"), F.greatest(a["stop"], x["stop"]).alias("stop"),
+                                             F.greatest(a["most"], F.greatest(a["stop"], x["stop"]) - F.when(x["start"] <= a["stop"], a["start"]).otherwise(x["start"])).alias("most")))
+    return step["most"]
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), as_text: bool = False, passages: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes), and the columns named in ``carry``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same
     or another row; strings are judged on the input.  Null and empty texts have no bytes.  A text that
     several rows hold loses all its bytes (from ``length`` bytes on) in each of them without a
     search; of each text one is searched.  Ids are passed on, null and repeated ones included.  With
-    ``as_text``, kept is a string, without the bytes of characters that a cut has parted."""
+    ``as_text``, kept is a string, without the bytes of characters that a cut has parted.
+
+    With ``passages`` (under ``length``), left_text is the text without all that repeats in strings of that many bytes.
+    A string of ``length`` bytes only repeats within a run of such strings, so just the texts with a run of
+    ``length`` bytes are searched again.  Texts of over a megabyte are searched in overlapping pieces; an empty table gives no rows."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     copies = stored(src.groupBy("tkey").agg(F.count("*").alias("n")).where("n > 1").select("tkey", F.lit(True).alias("copy")), "copies")
     # texts held several times enter the search once, beside it: one row of each
     plain = src.select("tkey", "text").join(copies, "tkey", "left_anti")
     once = src.select("tkey", "text").join(copies, "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
-    spans = repeated_spans(plain.unionByName(once), length).groupBy("tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    first, listed = plain.unionByName(once), F.collect_list(F.struct("start", "stop"))
+    if passages:
+        shorter = stored(repeated_spans(first, passages).groupBy("tkey").agg(listed.alias("shorter")), "passages")
+        first = first.join(shorter.where(longest_run(F.col("shorter")) >= length).select("tkey"), "tkey", "left_semi")
+    spans = repeated_spans(first, length).groupBy("tkey").agg(listed.alias("spans"))
+    spans = spans.join(shorter, "tkey", "full") if passages else spans.withColumn("shorter", F.lit(None).cast(spans.schema["spans"].dataType))
     known = stored(spans.join(copies, "tkey", "full"), "spans")
-    out = src.join(known, "tkey", "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"), *(f"carry_{c}" for c in carry))
+    out = src.join(known, "tkey", "left").select("doc_id", "text", "spans", "shorter", F.coalesce("copy", F.lit(False)).alias("copy"), *(f"carry_{c}" for c in carry))
     kinds = "".join(f", carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    cut = out.mapInArrow(_cut_bytes(length, as_text), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}{kinds}")
-    return cut.select(F.col("doc_id").alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept", *(F.col(f"carry_{c}").alias(c) for c in carry))
+    cut = out.mapInArrow(_cut_bytes(length, as_text, passages), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}, left_text string{kinds}")
+    return cut.select(F.col("doc_id").alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept", *(["left_text"] if passages else []), *(F.col(f"carry_{c}").alias(c) for c in carry))

@@ -270,3 +270,31 @@ def test_toxicity_without_labels_or_rows(spark):
     one = spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int")
     assert all(0 < r.score <= 0.5 for r in toxicity.score(docs, one).collect())
     assert toxicity.score(empty(spark), one).collect() == []
+
+
+# ---------------------------------------------------------------- repeated rows and shorter passages
+
+def test_repeated_rows_count_their_lines_once(spark):
+    from retrials.llm import quality_rules
+    common = "a line that far too many texts of one host share between them"
+    texts = [(i, f"{common}\n" + " ".join(chr(97 + i % 26) * (i // 26 + 1) + chr(97 + j) for j in range(20))) for i in range(30)]
+    rows = texts + [texts[0]] * 4
+    docs = spark.createDataFrame(rows_of(rows), DOCS).withColumn("source", F.lit("h")).repartition(3)
+    out = quality_rules.quality_rules(docs).where("doc_id = 0").collect()
+    assert len(out) == 5
+    assert {(r.n_words, r.left_words, r.n_lines_removed, r.kept) for r in out} == {(33, 20, 1, True)}
+    cleaned = quality_rules.clean_documents(docs, quality_rules.quality_rules(docs)).where("doc_id = 0").collect()
+    assert [r.text for r in cleaned] == [texts[0][1].split("\n")[1]] * 5
+
+
+@pytest.mark.parametrize("length,passages", [(60, 20), (30, 25)])
+def test_shorter_passages_beside_the_longer(spark, length, passages):
+    from test_llm import brute_bytes, corpus
+    from test_llm import DOCS as WIDE
+    from retrials.llm import suffix_array
+    docs = spark.createDataFrame(corpus(), WIDE).repartition(3)
+    out = suffix_array.remove_repeated_bytes(docs, length, passages=passages).collect()
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out)
+    assert got == Counter(brute_bytes(corpus(), length))
+    short = Counter((r.doc_id, r.left_text) for r in out)
+    assert short == Counter((r[0], r[4].decode(errors="ignore")) for r in brute_bytes(corpus(), passages))
