@@ -197,3 +197,56 @@ def test_model_queries_use_the_defaults():
             assert not cut & {k.arg for k in call.keywords}, ast.unparse(call)
             assert not any(k.arg is None for k in call.keywords), ast.unparse(call)
             assert not any(isinstance(a, ast.Constant) and isinstance(a.value, int) for a in call.args), ast.unparse(call)
+
+
+def _plain_picks(n, draws, start="b:"):
+    """Cluster picked by each slot of each draw, from the stated law."""
+    import hashlib
+    return [[int(hashlib.md5(f"{start}{d}:{i}".encode()).hexdigest()[:15], 16) % n + 1 for i in range(1, n + 1)] for d in range(draws)]
+
+
+def _index_of(names):
+    import hashlib
+    order = sorted(names, key=lambda c: (int(hashlib.md5(f"c:{c}".encode()).hexdigest()[:15], 16), c))
+    return {slot: c for slot, c in enumerate(order, 1)}
+
+
+def test_bootstrap_against_explicit_picks(spark, monkeypatch):
+    import random
+
+    from retrials.operators import resampling as B
+    monkeypatch.setattr(B, "CHUNK_PICKS", 70)
+    monkeypatch.setattr(B, "CHUNK_SLOTS", 5)
+    rnd, draws, names = random.Random(4), 23, [f"p{i}" for i in range(17)]
+    rows = [(c, rnd.randint(0, 6) / 4, rnd.randint(0, 1)) for c in names for _ in range(rnd.randint(1, 9))] + [("p0", 0.5, 1)] * 60
+    df = spark.createDataFrame(rows, "problem_id string, s double, y int").repartition(3)
+    slots, picks = _index_of(names), _plain_picks(len(names), draws)
+    weights = {c: [0] * draws for c in names}
+    for d, chosen in enumerate(picks):
+        for slot in chosen:
+            weights[slots[slot]][d] += 1
+    got = {r.problem_id: r.draws for r in B.weight_vectors(df, "problem_id", draws).collect()}
+    assert {c: [got[c].count(d) for d in range(draws)] for c in got} == weights
+    want = []
+    for d in range(draws):
+        pos = [(s, weights[c][d]) for c, s, y in rows if y]
+        neg = [(s, weights[c][d]) for c, s, y in rows if not y]
+        wins = sum(w * v * ((a > b) + 0.5 * (a == b)) for a, w in pos for b, v in neg)
+        total = sum(w for _, w in pos) * sum(v for _, v in neg)
+        want.append(wins / total if total else None)
+    found = {r.draw: r.value for r in B.replicate_metric(df, "s", "y", "auroc", draws=draws).collect()}
+    assert sorted(found) == list(range(draws))
+    assert [found[d] for d in range(draws)] == pytest.approx(want)
+
+
+def test_bootstrap_sums_by_group(spark):
+    from retrials.operators import resampling as B
+    rows = [(g, f"p{i}", float(i + k)) for k, g in enumerate(("u", "v")) for i in range(9 + k)]
+    stats = spark.createDataFrame(rows, "g string, problem_id string, x double")
+    got = {(r.g, r.draw): r.x for r in B.replicate_sums(stats, ["g"], "problem_id", ["x"], draws=11).collect()}
+    for g in ("u", "v"):
+        values = {c: x for h, c, x in rows if h == g}
+        slots = _index_of(values)
+        for d, chosen in enumerate(_plain_picks(len(values), 11, f"b:{g}:")):
+            assert got[g, d] == pytest.approx(sum(values[slots[s]] for s in chosen))
+    assert B.replicate_sums(stats.where("false"), ["g"], "problem_id", ["x"], draws=3).count() == 0
