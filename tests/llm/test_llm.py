@@ -422,5 +422,5 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_queries_have_their_contract_columns():
     from retrials.llm import queries
-    assert [n for n in queries.QUERIES if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert [n for n in queries.QUERIES if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
