@@ -298,3 +298,11 @@ def test_shorter_passages_beside_the_longer(spark, length, passages):
     assert got == Counter(brute_bytes(corpus(), length))
     short = Counter((r.doc_id, r.left_text) for r in out)
     assert short == Counter((r[0], r[4].decode(errors="ignore")) for r in brute_bytes(corpus(), passages))
+
+
+def test_ranks_encode_like_the_tokenizers_library(tokenizers):
+    rnd = random.Random(1)
+    texts = [t or "" for _, t in small(odd_texts())] + [c * 3000 for c in (" ", "a", "^", "\n", "1", "é", "ab ")]
+    texts += ["".join(rnd.choice("ab's're  \n\t　\xa0é🙂12,.!-<|endoftext|>ÀñI\r٣") for _ in range(rnd.randint(1, 60))) for _ in range(500)]
+    assert tokenizers.ranks is not None
+    assert tokenizers.encode(texts)[0] == [tokenizers.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
