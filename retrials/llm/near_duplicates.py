@@ -5,8 +5,8 @@ random fraction as values; a slot keeps its least value.  Ranks of one element a
 the variance; once every slot holds a value below the next rank, no later rank can matter and the
 work stops early.  Documents with equal shingle sets are one class; bands, checks and links are
 between classes.  Classes that share a band are candidates.  In a few rounds each is checked with the
-most alike of its bands' centres, which joins most groups with one check a class; then every candidate
-pair of classes that aren't yet in one component is checked.  Four bits of each slot make a sketch; a
+most alike of its bands' centres, which joins most groups with one check a class; classes whose bands still
+hold another component then meet over the rarest shingles of their sets, as many as a linked pair must share one of.  Four bits of each slot make a sketch; a
 pair whose sketches agree in fewer slots than a pair at the limit does by five deviations isn't checked.
 """
 
@@ -147,6 +147,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def listed(texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingle) of the distinct shingles of each text of (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = byte_views(b.column(1))
+            for i, j in blocks(at):
+                row, e = shingles(Words(data, at[i: j + 1], lower=True), k)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + row)), pa.array(e.view(np.int64))], names=["node", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingle bigint")
+
+
+def overlapping(left: DataFrame, texts: DataFrame, k: int, percent: int, alike: Column) -> DataFrame:
+    """Pairs (a, b) of the classes in ``left`` (node, size, label, sketch) that may be linked but have different labels.
+
+    Each set is ordered by how many classes hold a shingle, rarest first.  The first common shingle of a
+    linked pair stands among the first size - least overlap + 1 of both sets, and from there on at least the least
+    overlap must remain in each.  So only those prefixes meet, and the members of a group of near copies whose own
+    shingles fill their prefixes never do.  Shingles of one class only count for the places of the others."""
+    pairs = listed(texts.join(left.select("node"), "node", "left_semi"), k)
+    held = pairs.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    order = pairs.join(held, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
+    n, m = F.col("size"), F.size("order")
+    # the larger set of a pair shares at least percent of itself, the smaller one 2 percent / (100 + percent)
+    probe = n - F.ceil(n * percent / 100.0 - 1e-9) + 1
+    index = n - F.ceil(n * 2 * percent / (100.0 + percent) - 1e-9) + 1
+    prefix = left.join(order, "node").select("node", "size", "label", "sketch", (n - m).alias("own"), index.alias("index"), F.posexplode(
+        F.slice("order", F.lit(1), F.greatest(F.least(probe - (n - m), m), F.lit(0)).cast("int"))).alias("at", "first"))
+    prefix = stored(prefix.select("node", "size", "label", "sketch", "index", "first.shingle", (F.col("own") + F.col("at")).alias("place")), "prefixes")
+    p, q = prefix.where("place < index").alias("p"), prefix.alias("q")
+    most = F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place"))  # of the overlap, where this shingle is the first of it
+    could = 100 * most >= percent * (F.col("p.size") + F.col("q.size") - most)
+    smaller = F.struct("p.size", "p.node") < F.struct("q.size", "q.node")
+    met = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.label") != F.col("q.label")) & smaller & could & alike)
+    return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, tkey (64-bit hash of the text), n_shingles, component_id, n_links, kept.
 
@@ -183,10 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         links = stored(links.unionByName(confirmed(pairs.select("a", "b"), texts, k, percent)), "links")
         placed = stored(placed.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    placed = placed.join(mixed_keys, "key")
-    p, q = placed.alias("p"), placed.alias("q")
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label")) & fits & (alike >= least))
-    rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    left = stored(placed.join(mixed_keys, "key").select("node", "size", "label", "sketch").distinct(), "open")
+    rest = overlapping(left, texts, k, percent, alike >= least)
     links = links.unionByName(stored(confirmed(rest, texts, k, percent), "links"))
     grouped = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
