@@ -3,7 +3,8 @@
 Markup is stripped into lines, one a block, in page order; what stands in menus, notices, adverts
 and the like leaves an empty line.  Text lengths are summed over sliding windows of lines.  A region
 begins where the sum surges over a threshold and ends where it dives to nothing; the lines between
-are kept.  Where a page names its article, only the article's lines have a length.
+are kept.  A line inside a named article counts with a bonus of one surge, so that it never needs company;
+text outside of it is kept where it surges by itself.
 """
 
 from __future__ import annotations
@@ -128,14 +129,9 @@ def between_surge_and_dive(lengths: list[int], window: int, surge: int) -> list[
 
 def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
     lines = lines_of(html or "")
-    if any(inside for _, _, inside in lines):
-        # the page says where its article is: its lines alone have a length, and any of them is a surge
-        lengths, surge = [len(t) if inside else 0 for t, _, inside in lines], 1
-    else:
-        lengths = [plain for _, plain, _ in lines]
+    lengths = [len(t) + surge if inside and t else plain for t, plain, inside in lines]
     keep = between_surge_and_dive(lengths, window, surge)
-    named = surge == 1
-    return " ".join(t for (t, _, inside), k in zip(lines, keep, strict=True) if k and t and (inside or not named))
+    return " ".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k and t)
 
 
 def extract(pages: DataFrame, window: int = 3, surge: int = 80, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -152,6 +152,12 @@ def test_main_text():
     assert html_text.main_text("<p>tiny") == "tiny"
 
 
+def test_teaser_article_does_not_hide_the_main_text():
+    long = "The main text stands outside of the article and goes on for long enough to surge. " * 2
+    page = f"<body><nav><a href=x>Menu</a></nav><article><p>Teaser</p></article><nav>x</nav><div><p>{long}</p><p>short end</p></div><footer>f</footer><div><a href=y>{long}</a></div></body>"
+    assert html_text.main_text(page) == f"Teaser {long.strip()} short end"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "y"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted_rows(html_text.extract(df))
