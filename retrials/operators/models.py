@@ -270,70 +270,128 @@ def probe_oof(df: DataFrame, label: str, vec: str, components: int = 128, folds:
     return out_of_fold(df, label, lambda tr, te: vector_probe(tr, te, label, vec, min(components, size)), folds, seed)
 
 
-def _irls(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton steps for balanced L2 logistic regression with a free intercept."""
-    n = len(y)
-    w = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
-    a = np.column_stack([np.ones(n), x])
-    ridge = np.eye(a.shape[1]) / c
-    ridge[0, 0] = 0.0
-    beta = np.zeros(a.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        grad = a.T @ (w * (p - y)) + ridge @ beta
-        hess = (a * (w * p * (1 - p))[:, None]).T @ a + ridge
-        move = np.linalg.solve(hess + 1e-10 * np.eye(len(beta)), grad)
-        beta -= move
-        if np.abs(move).max() < 1e-8:
-            break
-    return beta
+def _summed(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of the arrays ``v`` by key and place.  Each place is a row, so that partial sums leave little of a hot key."""
+    cells = parts.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    return cells.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("v"))
+
+
+def _with_one(vec: pd.Series) -> np.ndarray:
+    x = np.stack(vec.to_numpy()).astype(float)
+    return np.column_stack([np.ones(len(x)), x])
+
 
+def _part_sums(rows: DataFrame, by: Sequence[str], kernel, held_kind: str | None = None) -> DataFrame:
+    """Arrays of sums for each run of rows of one problem in a batch; ``kernel`` yields (key, array) for such a run."""
+    name = "held" if held_kind else by[1]
+    kind = dict(rows.dtypes)
 
-def _probe_one(pdf: pd.DataFrame, components: int) -> np.ndarray:
-    x, y, fold = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["y"].to_numpy(float), pdf["fold"].to_numpy()
-    out = np.full(len(y), np.nan)
-    for k in np.unique(fold):
-        tr, te = fold != k, fold == k
-        mu, sd = x[tr].mean(0), x[tr].std(0)
-        z = (x - mu) / np.where(sd > 0, sd, 1.0)
-        _, _, vt = np.linalg.svd(z[tr], full_matrices=False)
-        score = z @ vt[: min(components, tr.sum() - 1)].T
-        beta = _irls(score[tr], y[tr])
-        out[te] = 1 / (1 + np.exp(-np.clip(beta[0] + score[te] @ beta[1:], -30, 30)))
-    return out
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for ident, g in pdf.groupby(list(by) if not held_kind else by[0], sort=False):
+                problem = ident[0] if isinstance(ident, tuple) else ident
+                out += [(problem, key, v) for key, v in kernel(g)]
+                if len(out) >= 64:
+                    yield pd.DataFrame(out, columns=["problem_id", name, "v"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["problem_id", name, "v"])
 
+    return rows.mapInPandas(run, f"problem_id {kind['problem_id']}, {name} {held_kind or kind[name]}, v array<double>")
 
-def problem_oracle(
+
+def _moments(g: pd.DataFrame):
+    a = _with_one(g["vec"])
+    yield g["fold"].iloc[0], np.append((a.T @ a).ravel(), g["y"].sum())
+
+
+def _newton_sums(g: pd.DataFrame):
+    """Gradient and curvature of the balanced loss in the raw space, for the model of each held-out fold."""
+    a, y, fold = _with_one(g["vec"]), g["y"].to_numpy(float), g["fold"].to_numpy()
+    for m in g["models"].iloc[0]:
+        train = fold != m["held"]
+        if not train.any():
+            continue
+        b, t = a[train], y[train]
+        p = 1 / (1 + np.exp(-np.clip(b @ np.asarray(m["lin"], float), -30, 30)))
+        w = np.where(t == 1, m["w1"], m["w0"])
+        yield m["held"], np.concatenate([b.T @ (w * (p - t)), ((b * (w * p * (1 - p))[:, None]).T @ b).ravel()])
+
+
+def _components(pdf: pd.DataFrame, components: int) -> pd.DataFrame:
+    """For each fold of one problem: the map from (1, vector) to (1, scores) that the other folds' moments give."""
+    v = np.stack(pdf["v"].to_numpy())
+    size = int(round((v.shape[1] - 1) ** 0.5))
+    out = []
+    for i, fold in enumerate(pdf["fold"]):
+        rest = v.sum(0) - v[i]
+        n, ones, second = rest[0], rest[-1], rest[:-1].reshape(size, size)
+        mu = second[0, 1:] / n
+        cov = second[1:, 1:] / n - np.outer(mu, mu)
+        var = np.diag(cov)
+        sd = np.sqrt(np.where(var > 1e-12 * np.maximum(np.diag(second)[1:] / n, 1e-300), var, 1.0))
+        _, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+        keep = vectors[:, ::-1][:, : int(min(components, size - 1, n - 1))].T / sd
+        t = np.zeros((len(keep) + 1, size))
+        t[0, 0], t[1:, 0], t[1:, 1:] = 1.0, -keep @ mu, keep
+        out.append((pdf["problem_id"].iloc[0], fold, t.ravel(), n / (2 * (n - ones)), n / (2 * ones), np.zeros(len(t)), np.zeros(size), np.inf))
+    return pd.DataFrame(out, columns=["problem_id", "held", "t", "w0", "w1", "beta", "lin", "move"])
+
+
+def _newton_step(batches, c: float):
+    for pdf in batches:
+        beta, lin, move = [], [], []
+        for t, old, v in zip(pdf["t"], pdf["beta"], pdf["v"], strict=True):
+            t, old = np.asarray(t, float).reshape(len(old), -1), np.asarray(old, float)
+            size = t.shape[1]
+            ridge = np.eye(len(old)) / c
+            ridge[0, 0] = 0.0
+            step = np.linalg.solve(t @ np.reshape(v[size:], (size, size)) @ t.T + ridge + 1e-10 * np.eye(len(old)), t @ v[:size] + ridge @ old)
+            beta.append(old - step)
+            lin.append(t.T @ (old - step))
+            move.append(float(np.abs(step).max()))
+        yield pdf.drop(columns="v").assign(beta=beta, lin=lin, move=move)
+
+
+def problem_scores(
     df: DataFrame, label: str = "correct", ident: str = "vec_id", components: int = 32, folds: int = 5,
-    per_class: int = 5, task_rows: int = 50_000, seed: str = "oracle",
+    per_class: int = 5, c: float = 1.0, steps: int = 50, seed: str = "oracle",
 ) -> DataFrame:
-    """Per-problem probe with sample-disjoint folds; needs ``per_class`` rows of each class.
+    """Out-of-fold scores p of a probe for each problem with ``per_class`` rows of each class: problem_id, ident, y, fold, p.
 
-    Problems of at most ``task_rows`` rows are fitted side by side, one per task group.
-    Larger ones, of which there are few, are each fitted by a distributed job.
-    """
+    Standardised vectors, their first ``components`` components, then balanced logistic regression with an L2
+    penalty 1 / ``c`` on all but the intercept.  One rule at any size: components come from moments
+    summed by (problem, fold), and every Newton step sums gradient and curvature over all problems' rows at once
+    until no coefficient moves by 1e-8.  Tasks hold sums of (size + 1)^2 numbers, never a problem's rows."""
     from retrials.operators.sampling import sample_folds
-    sizes = df.groupBy("problem_id").agg(
+    sizes = materialize(df.groupBy("problem_id").agg(
         F.sum(F.col(label).cast("long")).alias("s"), F.sum(1 - F.col(label).cast("long")).alias("f")
-    ).where((F.col("s") >= per_class) & (F.col("f") >= per_class))
-    sizes = materialize(sizes)
+    ).where((F.col("s") >= per_class) & (F.col("f") >= per_class)))
     rows = sample_folds(df.join(sizes.select("problem_id"), "problem_id", "left_semi"), seed, folds, target=label, ident=ident)
-    rows = materialize(rows.select("problem_id", ident, "vec", "fold", F.col(label).cast("long").alias("y")))
-    big = sizes.where(F.col("s") + F.col("f") > task_rows).select("problem_id")
-    small = rows.join(big, "problem_id", "left_anti")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["problem_id", ident, "y"]].assign(p=_probe_one(pdf, components))
-
-    kind = dict(df.dtypes)
-    schema = f"problem_id {kind['problem_id']}, {ident} {kind[ident]}, y bigint, p double"
-    scored = [small.groupBy("problem_id").applyInPandas(one, schema)]
-    for r in big.collect():
-        hot = rows.where(F.col("problem_id") == r[0])
-        for k in range(folds):
-            got = vector_probe(hot.where(F.col("fold") != k), hot.where(F.col("fold") == k), "y", "vec", components)
-            scored.append(got.select("problem_id", ident, "y", F.col(P).alias("p")))
-    return D.within_problem(materialize(_stack(scored)), "p", "y")
+    rows = rows.select("problem_id", ident, "vec", F.col("fold").cast("int").alias("fold"), F.col(label).cast("long").alias("y"))
+    # a problem's rows stand together, and a large problem spans several ranges
+    rows = materialize(rows.repartitionByRange("problem_id", "fold", ident).sortWithinPartitions("problem_id", "fold"))
+    kind = dict(rows.dtypes)["problem_id"]
+    state = f"problem_id {kind}, held int, t array<double>, w0 double, w1 double, beta array<double>, lin array<double>, move double"
+    sums = _summed(_part_sums(rows.select("problem_id", "fold", "vec", "y"), ["problem_id", "fold"], _moments), ["problem_id", "fold"])
+    models = materialize(sums.groupBy("problem_id").applyInPandas(lambda pdf: _components(pdf, components), state))
+    by_problem = lambda: models.groupBy("problem_id").agg(F.collect_list(F.struct("held", "lin", "w0", "w1")).alias("models"))
+    for _ in range(steps):
+        parts = _part_sums(rows.join(by_problem(), "problem_id").select("problem_id", "fold", "vec", "y", "models"), ["problem_id"], _newton_sums, "int")
+        models = materialize(models.join(_summed(parts, ["problem_id", "held"]), ["problem_id", "held"]).select(
+            "problem_id", "held", "t", "w0", "w1", "beta", "lin", "move", "v").mapInPandas(lambda b: _newton_step(b, c), state))
+        if (models.agg(F.max("move")).first()[0] or 0.0) < 1e-8:
+            break
+    scored = rows.join(models.select("problem_id", F.col("held").alias("fold"), "lin"), ["problem_id", "fold"])
+    z = F.get("lin", F.lit(0)) + F.aggregate(F.zip_with(F.slice("lin", F.lit(2), F.size("vec")), "vec", lambda b, x: b * x), F.lit(0.0), lambda s, x: s + x)
+    p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return scored.select("problem_id", ident, "y", "fold", p.alias("p"))
+
+
+def problem_oracle(df: DataFrame, **how) -> DataFrame:
+    """Per-problem probe with sample-disjoint folds: AUROC within each problem of ``problem_scores``."""
+    return D.within_problem(materialize(problem_scores(df, **how)), "p", "y")
 
 
 def plane_coordinates(states: DataFrame, train: Column, vec: str = "vec") -> DataFrame:

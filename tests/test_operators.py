@@ -250,3 +250,45 @@ def test_bootstrap_sums_by_group(spark):
         for d, chosen in enumerate(_plain_picks(len(values), 11, f"b:{g}:")):
             assert got[g, d] == pytest.approx(sum(values[slots[s]] for s in chosen))
     assert B.replicate_sums(stats.where("false"), ["g"], "problem_id", ["x"], draws=3).count() == 0
+
+
+def plain_probe(x, y, fold, components, c=1.0):
+    """Standardise, SVD and Newton steps for one problem, all rows at once."""
+    out = np.full(len(y), np.nan)
+    for k in np.unique(fold):
+        tr, te = fold != k, fold == k
+        mu, sd = x[tr].mean(0), x[tr].std(0)
+        z = (x - mu) / np.where(sd > 1e-9, sd, 1.0)
+        _, _, vt = np.linalg.svd(z[tr], full_matrices=False)
+        a = np.column_stack([np.ones(len(y)), z @ vt[: min(components, tr.sum() - 1)].T])
+        n, t = tr.sum(), y[tr]
+        w = np.where(t == 1, n / (2 * t.sum()), n / (2 * (n - t.sum())))
+        ridge = np.eye(a.shape[1]) / c
+        ridge[0, 0] = 0.0
+        beta = np.zeros(a.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a[tr] @ beta))
+            beta -= np.linalg.solve((a[tr] * (w * p * (1 - p))[:, None]).T @ a[tr] + ridge, a[tr].T @ (w * (p - t)) + ridge @ beta)
+        out[te] = 1 / (1 + np.exp(-a[te] @ beta))
+    return out
+
+
+def test_problem_scores_follow_one_rule_at_any_size(spark):
+    from retrials.operators import models as K
+    rng = np.random.default_rng(5)
+    rows, ident = [], 0
+    for problem, n in ((1, 40), (2, 600), (3, 12), (4, 30)):
+        for i in range(n):
+            x = rng.normal(size=6)
+            x[5] = 2.0  # a constant element
+            correct = bool(i % 2) if problem == 3 else bool(x[0] + x[1] * 0.5 + rng.normal() > 0) if problem != 4 else i < 3
+            rows.append((problem, ident, [float(v) for v in x], correct, "x"))
+            ident += 1
+    df = spark.createDataFrame(rows, "problem_id long, vec_id long, vec array<double>, correct boolean, fold string")
+    got = K.problem_scores(df.drop("fold"), components=4, folds=3).toPandas().sort_values("vec_id")
+    assert set(got["problem_id"]) == {1, 2, 3}  # the fourth has too few of one class
+    x = np.array([r[2] for r in rows])
+    for problem, g in got.groupby("problem_id"):
+        want = plain_probe(x[g["vec_id"]], g["y"].to_numpy(float), g["fold"].to_numpy(), 4)
+        assert np.abs(want - g["p"]).max() < 1e-6, problem
+    assert K.problem_scores(df.drop("fold").limit(0), components=4, folds=3).count() == 0
