@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retrials.functions.lineage import materialize
+from retrials.functions.lineage import materialize, shared_folder
 from retrials.functions.numeric import finite
 from retrials.functions.ordered import quantiles
 from retrials.operators import discrimination as D
@@ -85,14 +85,24 @@ def logistic(train: DataFrame, label: str, c: float = 0.1, features: str = X, ma
     ).fit(rows.withColumn(Y, F.col(label).cast("double")))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """At least one partition a core: a small written table comes back as one."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def boosted_trees(train: DataFrame, label: str, rounds: int = 300, seed: int = 7):
+    """Boosting; every tenth round's predictions are written to the shared folder, so that lineage stays short."""
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     rows = train.withColumn(Y, F.col(label).cast("double"))
     model = GBTClassifier(featuresCol=X, labelCol=Y, maxIter=rounds, stepSize=0.05, maxDepth=5, seed=seed, predictionCol="__hat").fit(rows)
     return model.setProbabilityCol("__prob").setRawPredictionCol("__raw")
 
 
 def random_forest(train: DataFrame, label: str, trees: int = 500, seed: int = 7):
-    rows, _ = balanced_weights(train, label)
+    rows, _ = balanced_weights(_spread(train), label)
     return RandomForestClassifier(featuresCol=X, labelCol=Y, weightCol=W, numTrees=trees, maxDepth=12, minInstancesPerNode=5, seed=seed,
                                   probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__hat").fit(
         rows.withColumn(Y, F.col(label).cast("double")))
