@@ -2,9 +2,10 @@
 
 Templates are short notices.  Each word of a template has a posting (template, offset).  The document
 frequencies of all template words are counted over the whole corpus; a file's licence words of high
-inverse frequency are looked up, their postings are intersected by relative position (place in
-the file minus offset), and a place is confirmed by the words it shares with the template and by the
-template's mandatory phrases.
+inverse frequency are looked up and their postings are intersected by relative position (place in
+the file minus offset).  A place goes on only where the rare words that agree on it, within the
+slack, weigh what the coverage demands of them; it is confirmed by all words it shares with the
+template and by the template's mandatory phrases.
 """
 
 from __future__ import annotations
@@ -91,11 +92,18 @@ class Index:
             rarest = max(range(len(words)), key=lambda i: (self.idf[words[i]], -i))
             self.base[words[rarest]].append((words, rarest, label))
         self.postings = defaultdict(list)
+        self.weights = [[self.idf[w] + 1e-9 for w in words] for _, words, _ in self.templates]
+        self.needed = []
         for t, (_, words, _) in enumerate(self.templates):
             level = sorted(self.idf[w] for w in words)[len(words) // 2]
+            common = 0.0
             for o, w in enumerate(words):
                 if self.idf[w] >= level:
                     self.postings[w].append((t, o))
+                else:
+                    common += self.weights[t][o]
+            # A place that reaches the coverage has at least this weight among its rare words, even if every common word is there.
+            self.needed.append((coverage - 1e-9) * sum(self.weights[t]) - common)
         self.lookup = frozenset(self.postings) | frozenset(self.base)
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
@@ -108,20 +116,20 @@ class Index:
                     starts.append(i - at)
                     base.add(label)
         found, best = set(base), 1.0 if base else 0.0
-        aligned = defaultdict(float)
+        aligned = defaultdict(set)
         for i, w in places:
             for t, o in self.postings.get(w, ()):
-                aligned[t, i - o] += self.idf[w]
-        for (t, at), weight in aligned.items():
+                aligned[t, i - o].add(o)
+        for t, at in aligned:
             label, notice, must = self.templates[t]
-            rare = sum(aligned.get((t, at + d), 0.0) for d in range(-self.slack, self.slack + 1) if d) + weight
-            if rare <= 0 and len(words) < len(notice):
+            offsets = set().union(*(aligned.get((t, at + d), ()) for d in range(-self.slack, self.slack + 1)))
+            if sum(self.weights[t][o] for o in offsets) < self.needed[t]:
                 continue
             lo = max(0, at - self.slack)
             near = words[lo: at + len(notice) + self.slack]
             if not all(self.holds(near, phrase) for phrase in must):
                 continue
-            share = self.shared(near, notice, at - lo)
+            share = self.shared(near, t, at - lo)
             if share >= self.coverage:
                 found.add(label)
                 best = max(best, share)
@@ -131,22 +139,19 @@ class Index:
     def holds(words: list[bytes], phrase: list[bytes]) -> bool:
         return any(words[i: i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
 
-    def shared(self, near: list[bytes], notice: list[bytes], at: int) -> float:
+    def shared(self, near: list[bytes], t: int, at: int) -> float:
         """Share of the template's inverse frequency found within ``slack`` of its place."""
-        total = got = 0.0
-        for o, w in enumerate(notice):
-            weight = self.idf[w] + 1e-9
-            total += weight
-            if w in near[max(0, at + o - self.slack): max(0, at + o + self.slack + 1)]:
-                got += weight
-        return got / total if total else 0.0
+        got = sum(weight for o, (w, weight) in enumerate(zip(self.templates[t][1], self.weights[t], strict=True))
+                  if w in near[max(0, at + o - self.slack): max(0, at + o + self.slack + 1)])
+        return got / sum(self.weights[t])
 
 
 def scan_licenses(docs: DataFrame, coverage: float = 0.7, slack: int = 2, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Null or empty text: no words, no labels, score 0.  Every place of a base phrase counts, also
-    overlapping ones.  Ids are passed on, null and repeated ones included; other columns are not read."""
+    Null or empty text: no words, no labels, score 0; an empty table gives no rows.  Every place of a
+    base phrase counts, also overlapping ones.  A text is read whole; its memory grows with its own
+    words.  Of several places or templates of one label the best score stands.  Ids are passed on, null and repeated ones included; other columns are not read."""
     n_docs, frequency = document_frequencies(docs, text, templates)
     index = Index(n_docs, frequency, coverage, slack, templates)
 

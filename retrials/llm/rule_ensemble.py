@@ -7,6 +7,7 @@ Spark column expression, so that scoring is a plain projection.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -92,20 +93,22 @@ def fit(train: DataFrame, trees: int = 16, depth: int = 3, penalty: float = 0.00
     many is taken by a hash of the id.  Without rows the score is 0.5, with one label it is that label's share, smoothed."""
     train = train.where(F.col("label").isNotNull())
     counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    if odd := sorted(set(counts) - {0, 1}):
+        raise ValueError(f"labels other than 0 and 1: {odd[:5]}")
     n = sum(counts.values())
     if len(counts) < 2:
-        import math
         one = counts.get(1, 0)
         return Ensemble(math.log((one + 1) / (n - one + 1)), ())
     if n > max_rows:
         train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+    # At most about ``max_rows`` rows pass this exchange; the join above keeps its own tasks.
     data = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(train).select(
-        "doc_id", *STATISTICS, F.col("label").cast("double").alias("label"), "features").coalesce(4).sortWithinPartitions("doc_id").persist()
+        "doc_id", *STATISTICS, F.col("label").cast("double").alias("label"), "features").repartition(4, "doc_id").sortWithinPartitions(
+        "doc_id", "label", *STATISTICS).persist()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.7, featureSubsetStrategy="onethird").fit(data)
     rules = list(dict.fromkeys(r for tree in forest.trees for r in paths(tree.toDebugString)))
     if not rules:
         data.unpersist()
-        import math
         return Ensemble(math.log((counts[1] + 1) / (counts[0] + 1)), ())
     named = data.select("label", F.array(*(r.column().cast("double") for r in rules)).alias("r"))
     from pyspark.ml.functions import array_to_vector
@@ -120,7 +123,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Rows whose crc32(id as text) leaves ``held`` modulo ``folds`` are never learnt from.  A null id
     is not held out and has no label; labels of unknown ids and null labels are ignored; each of
-    several labels of an id is a training row.  Other columns are not read."""
+    several labels of an id is a training row; a label that is neither 0 nor 1 is an error.  An empty
+    table gives no rows, an empty text the statistics nought, a long text is read whole.  Other columns
+    are not read."""
     stats = stored(statistics(docs, doc_id, text), "statistics")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(~held_out)

@@ -180,6 +180,9 @@ def test_rule_ensemble(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in good + bad) and not got[None].held_out
     none = rule_ensemble.score(df, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
+    assert rule_ensemble.score(df.limit(0), labels).count() == 0
+    with pytest.raises(ValueError, match="other than 0 and 1"):
+        rule_ensemble.score(df, labels.union(spark.createDataFrame([(0, 2)], "doc_id long, quality int")))
 
 
 def test_paths_of_a_tree():
@@ -205,6 +208,64 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def _noisy_notices(n):
+    """Notices with words dropped, changed or put in, within filler that shares their common words."""
+    import random
+    rng = random.Random(5)
+    filler = "the of and this software is license to under a any work version 2 public".split()
+    texts = []
+    for i in range(n):
+        notice = rng.choice(license_scan.TEMPLATES)[1].split()
+        words = [w if rng.random() > 0.12 * (i % 4) else rng.choice(filler) for w in notice if rng.random() > 0.05 * (i % 3)]
+        texts.append(" ".join(rng.choices(filler, k=rng.randrange(60)) + words + rng.choices(filler, k=rng.randrange(60))))
+    return texts
+
+
+def test_license_places_lose_nothing_to_the_intersection():
+    from collections import Counter
+    texts = _noisy_notices(300)
+    words = [license_scan.words_of(t) for t in texts]
+    index = license_scan.Index(len(texts), Counter(w for ws in words for w in set(ws)))
+    hits = 0
+    for ws in words:
+        starts, base, found, best = index.scan(ws)
+        want, top = set(base), 1.0 if base else 0.0
+        for t, (label, notice, must) in enumerate(index.templates):
+            rare = {o for w in index.postings for u, o in index.postings[w] if u == t}
+            for at in range(-len(notice) + 1, len(ws)):  # every place, no intersection first
+                if not any(0 <= at + o < len(ws) and ws[at + o] == notice[o] for o in rare):
+                    continue
+                lo = max(0, at - index.slack)
+                near = ws[lo: at + len(notice) + index.slack]
+                share = index.shared(near, t, at - lo)
+                if share >= index.coverage and all(index.holds(near, phrase) for phrase in must):
+                    want.add(label)
+                    top = max(top, share)
+        assert (found, best) == (want, top)
+        hits += bool(want)
+    assert 100 < hits < 300
+    assert all(need > 0 for need in index.needed)
+
+
+def test_license_base_columns_match_sql(spark):
+    import duckdb
+    import pandas as pd
+    phrases = [phrase for phrase, _ in license_scan.BASE]
+    rows = [(i, t + (f" {phrases[i % 3].upper()}, {phrases[i % 2]}" if i % 5 else "")) for i, t in enumerate(_noisy_notices(120))] + [(900, None), (901, ""), (902, "CC-BY_NC é1 cc.by nc")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    listed = ", ".join(f"('{phrase}', '{label}')" for phrase, label in license_scan.BASE)
+    want = con.execute(rf"""
+        with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+        p as (select string_split(phrase, ' ') as phrase, label from (values {listed}) t(phrase, label)),
+        h as (select doc_id, i, label from (select *, unnest(range(len(words))) as i from w), p where words[i + 1:i + len(phrase)] = phrase)
+        select doc_id, len(any_value(words)), count(label), min(i), max(i), coalesce(string_agg(distinct label, ',' order by label), '') from w left join h using (doc_id) group by doc_id""").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(r.n_base for r in got) > 150
+
+
 # ---------------------------------------------------------------- 6
 
 def brute_groups(rows, k, percent):
