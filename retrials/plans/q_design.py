@@ -362,6 +362,18 @@ def _(spark, sf):
     return SA.explode_rollouts(packed, ["problem"]).select("problem", "sample", F.length("text").alias("characters"))
 
 
+@query("s07_rollout_archives", """SELECT cast(conv_id AS varchar) AS problem, cast(max(n) OVER (PARTITION BY conv_id) AS varchar) AS reference, I(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS sample, I(length(text)) AS characters
+ FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""")
+def _(spark, sf):
+    from retrials.sources.archives import read_rollout_archives, write_rollout_archives
+    root = _folder(spark)
+    c = X.table(spark, sf, "conversations")
+    packed = c.groupBy(F.col("conv_id").alias("problem")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s.text).alias("samples"), F.count(F.lit(1)).alias("gt_answer"))
+    write_rollout_archives(packed, root)
+    return read_rollout_archives(spark, root).select("problem", "reference", "sample", F.length("text").cast("long").alias("characters"))
+
+
 @query("s10_file_audit")
 def _(spark, sf):
     found = SI.file_manifest(spark, sf, "*.parquet")

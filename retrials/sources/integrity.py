@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retrials.sources.remote import blocks
+
+
+#: Files up to this size are digested from Spark's own binary reader, larger ones block by block.
+WHOLE = 64 << 20
+
 
-def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Path relative to ``root``, size and SHA-256 of every file below it."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            digest = hashlib.sha256()
+            for part in blocks(path):
+                digest.update(part)
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([size], pa.int64()), pa.array([digest.hexdigest()], pa.string())],
+                                             names=["path", "length", "sha256"])
+
+
+def file_manifest(spark: SparkSession, root: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
+    """Path relative to ``root``, size and SHA-256 of every file below it, empty files included.
+
+    Scans leave out empty files, so those come from the listing that the driver holds for any scan.
+    A task never holds more than ``whole`` bytes of a file: the reader takes files up to that size
+    (the size filter is pushed into it), larger ones stream through a digest in the tasks, one file a task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", "length").mapInArrow(_digests, "path string, length long, sha256 string")
     top = root.rstrip("/").split("://")[-1] + "/"
-    return files.select(
-        F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top))).alias("file"), F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    listed = spark.createDataFrame([(unquote(x),) for x in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
+    return small.union(large).union(empty).select(
+        F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top))).alias("file"), F.col("length").alias("size_bytes"), "sha256")
 
 
 def audit_files(found: DataFrame, manifest: DataFrame) -> DataFrame:

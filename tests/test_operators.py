@@ -153,6 +153,64 @@ def test_manifest_keys_are_relative_paths(spark, tmp_path):
     assert [r.status for r in audit_files(found, found).collect()] == ["ok", "ok"]
 
 
+def test_large_files_are_digested_block_by_block(spark, tmp_path):
+    import hashlib
+
+    from retrials.sources.integrity import audit_files, file_manifest
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "deep" / "a b.bin").write_bytes(b"x" * 5000)
+    with open(tmp_path / "deep" / "er" / "huge.bin", "wb") as f:  # over 2 GB, too long for one row
+        f.seek((1 << 31) + 10)
+        f.write(b"end")
+    digest = hashlib.sha256()
+    with open(tmp_path / "deep" / "er" / "huge.bin", "rb") as f:
+        while part := f.read(1 << 22):
+            digest.update(part)
+    want = {"empty.bin": (0, hashlib.sha256(b"").hexdigest()), "deep/a b.bin": (5000, hashlib.sha256(b"x" * 5000).hexdigest()),
+            "deep/er/huge.bin": ((1 << 31) + 13, digest.hexdigest())}
+    assert {r.file: (r.size_bytes, r.sha256) for r in file_manifest(spark, str(tmp_path)).collect()} == want
+    truncated = spark.createDataFrame([(k, 9 if k == "empty.bin" else n, d) for k, (n, d) in want.items()], "file string, size_bytes long, sha256 string")
+    status = {r.file: r.status for r in audit_files(file_manifest(spark, str(tmp_path)), truncated).collect()}
+    assert status == {"empty.bin": "size_mismatch", "deep/a b.bin": "ok", "deep/er/huge.bin": "ok"}
+    streamed = file_manifest(spark, str(tmp_path / "deep"), "*.bin", whole=100).where("file = 'a b.bin'").first()
+    assert (streamed.size_bytes, streamed.sha256) == want["deep/a b.bin"]
+
+
+def _tar(path, members, mode="w"):
+    import io
+    import tarfile
+    with tarfile.open(path, mode) as tar:
+        for name, body in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+
+
+def test_rollout_archives(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from retrials.sources.archives import read_rollout_archives, write_rollout_archives
+    block = b"gt_answer: B\nsamples:\n- |\n  first line\n  second: line\n- 'it''s B'\n"
+    (tmp_path / "in" / "more").mkdir(parents=True)
+    _tar(tmp_path / "in" / "one.tar", {"run/7.yaml": block, "run/logs/7.yaml": b"no: samples", "run/notes.txt": b"x", "8.yaml": b"{gt_answer: 3, samples: []}"})
+    _tar(tmp_path / "in" / "more" / "two.tar.gz", {"9.yaml": '{"gt_answer": "é", "samples": ["ü", null]}'.encode(), f"{'d' * 150}/10.yaml": block}, "w:gz")
+    rows = read_rollout_archives(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.problem, r.reference, r.sample, r.text) for r in rows if r.text is not None) == [
+        ("10", "B", 0, "first line\nsecond: line\n"), ("10", "B", 1, "it's B"), ("7", "B", 0, "first line\nsecond: line\n"), ("7", "B", 1, "it's B"), ("9", "é", 0, "ü")]
+    assert [(r.problem, r.sample) for r in rows if r.text is None] == [("9", 1)]
+
+    odd = ["", None, "a: b\n- c", "\U0001F600 \u2028 \\ \"quoted\"", "x" * 100_000]
+    docs = spark.createDataFrame([(i, odd[: i % 6], str(i)) for i in range(40)], "problem long, samples array<string>, gt_answer string").repartition(7)
+    assert write_rollout_archives(docs, str(tmp_path / "out")) == 40
+    back = {(r.problem, r.reference, r.sample): r.text for r in read_rollout_archives(spark, str(tmp_path / "out")).collect()}
+    assert back == {(str(i), str(i), k): odd[k] for i in range(40) for k in range(min(i % 6, 5))}
+    assert write_rollout_archives(docs.limit(0), str(tmp_path / "none")) == 0
+
+    _tar(tmp_path / "bad.tar", {"1.yaml": b"gt_answer: 3"})
+    with pytest.raises(Exception, match="1.yaml is no document"):
+        read_rollout_archives(spark, str(tmp_path), "bad.tar").collect()
+
+
 def test_recalibration_falls_back_to_the_scores(spark):
     from retrials.operators import models as K
     one = spark.createDataFrame([(0.2, True), (0.7, True)], f"{K.P} double, y boolean")
