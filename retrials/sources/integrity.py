@@ -37,11 +37,11 @@ def file_manifest(spark: SparkSession, root: str, pattern: str = "*", whole: int
     small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
     large = files.where(F.col("length") > whole).select("path", "length").mapInArrow(_digests, "path string, length long, sha256 string")
     top = root.rstrip("/").split("://")[-1] + "/"
-    listed = spark.createDataFrame([(unquote(x),) for x in files.inputFiles()], "path string")
-    empty = listed.join(files.select("path"), "path", "left_anti").select(
-        "path", F.lit(0).cast("long").alias("length"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
-    return small.union(large).union(empty).select(
-        F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top))).alias("file"), F.col("length").alias("size_bytes"), "sha256")
+    inner = F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top))).alias("file")
+    listed = spark.createDataFrame([(unquote(x),) for x in files.inputFiles()], "path string").select(inner)
+    empty = listed.join(files.select(inner), "file", "left_anti").select(
+        "file", F.lit(0).cast("long").alias("size_bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
+    return small.union(large).select(inner, F.col("length").alias("size_bytes"), "sha256").union(empty)
 
 
 def audit_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
