@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrials.functions.lineage import materialize
@@ -235,22 +235,78 @@ def with_utilities(df: DataFrame, penalty: Column, costs: Mapping[str, float], p
     return out.withColumn("selected_arm", arm)
 
 
+def _turning_cell(cheap: Column, dear: Column, gap: float, shares: tuple[float, float], grid: Sequence[float]) -> Column:
+    """First cell of the ascending ``grid`` whose penalty makes the cheaper arm at least as useful, else its length.
+
+    The lead of the cheaper arm only grows with the penalty, so the cell follows from the point of
+    equality; the cells around it are judged by the utilities themselves, as rounding decides ties."""
+    size, cells = len(grid), F.array(*[F.lit(g) for g in grid])
+    point = (dear - cheap) / F.lit(gap)
+    step = (grid[-1] - grid[0]) / (size - 1) if size > 1 else 1.0
+    if size > 1 and np.allclose(np.diff(grid), step, rtol=0, atol=step * 1e-6):
+        near = F.greatest(F.lit(0.0), F.least(F.lit(float(size)), F.floor((point - F.lit(grid[0])) / F.lit(step)).cast("double"))).cast("int")
+    else:
+        near = F.size(F.filter(cells, lambda g: g < point))
+    def wins(k: Column) -> Column:
+        g = F.get(cells, k)
+        return (cheap - g * F.lit(shares[0])) >= (dear - g * F.lit(shares[1]))
+    # ``near`` is off by one cell at most either way; a cell beyond the end counts as won, one before the start as lost.
+    first = near + 2
+    for back in (1, 0, -1, -2):
+        k = near + back
+        first = F.when((k >= 0) & (k < size) & wins(k), k).otherwise(first)
+    first = F.greatest(F.lit(0), F.least(F.lit(size), first))
+    return F.when(cheap.isNull() | F.isnan(dear) & ~F.isnan(cheap), size).when(dear.isNull() | F.isnan(cheap), 0).otherwise(first)
+
+
 def select_penalty(df: DataFrame, costs: Mapping[str, float], max_gap: float, grid: Sequence[float] = PENALTIES, p: str = "p_{}") -> DataFrame:
     """Cheapest penalty whose accuracy stays within the gap of always-long; none is an error.
 
-    Each row yields one (penalty, arm) per grid value, combined on the map side into
-    3 x len(grid) cells.
+    A row's arm changes at most twice along the ascending grid, from long to medium to short.  Each row adds
+    its start and its changes to an array of differences, combined on the map side into at
+    most ``len(grid)`` cells; prefix sums over those cells give every penalty's table.
+    Costs must ascend in the order of the arms.
     """
-    kept = df.select(*[p.format(a) for a in ARMS], *[f"{a}_correct" for a in ARMS])
-    fan = with_utilities(kept.withColumn("penalty", F.explode(F.array(*[F.lit(g) for g in grid]))), F.col("penalty"), costs, p)
-    cost = F.create_map(*[F.lit(x) for a in ARMS for x in (a, float(costs[a]))])
-    table = fan.groupBy("penalty").agg(
-        rate(chosen(F.col("selected_arm"), "{}_correct", ARMS)).alias("accuracy"),
-        F.avg(F.element_at(cost, F.col("selected_arm"))).alias("mean_token_cost"),
-        rate(F.col("long_correct")).alias("long_accuracy"),
-        *[rate(F.col("selected_arm") == a).alias(f"route_rate_{a}") for a in ARMS],
-    )
-    table = materialize(table)
+    grid = sorted(set(grid))
+    size, top = len(grid), max(costs.values())
+    share = {a: costs[a] / top for a in ARMS}
+    if not all(costs[a] < costs[b] for a, b in zip(ARMS, ARMS[1:], strict=False)):
+        raise ValueError("costs must ascend from arm to arm")
+    prob = {a: F.col(p.format(a)).cast("double") for a in ARMS}
+    def turn(a: str, b: str) -> Column:
+        return _turning_cell(prob[a], prob[b], share[b] - share[a], (share[a], share[b]), grid)
+    kept = df.select(*[F.when(F.col(f"{a}_correct"), 1).when(~F.col(f"{a}_correct"), 0).cast("long").alias(f"y_{a}") for a in ARMS],
+                     F.greatest(turn("short", "medium"), turn("short", "long")).alias("s"), turn("medium", "long").alias("m"))
+    start = F.when(F.col("s") == 0, "short").when(F.col("m") == 0, "medium").otherwise("long")
+    change = lambda k, old, new: F.struct(k.cast("int").alias("cell"), old.alias("old"), new.alias("new"))
+    no = F.lit(None).cast("string")
+    changes = F.array(
+        change(F.lit(0), no, start),
+        F.when((F.col("m") > 0) & (F.col("m") < F.col("s")), change(F.col("m"), F.lit("long"), F.lit("medium"))),
+        F.when((F.col("s") > 0) & (F.col("s") < size), change(F.col("s"), F.when(F.col("m") < F.col("s"), "medium").otherwise("long"), F.lit("short"))))
+    rows = kept.select(*[f"y_{a}" for a in ARMS], F.explode(F.filter(changes, lambda x: x.isNotNull() & (x.cell < size))).alias("x")).select(
+        "x.*", *[f"y_{a}" for a in ARMS])
+    def total(value: dict[str, Column]) -> Column:
+        signed = F.lit(0).cast("long")
+        for a in ARMS:
+            signed = signed + F.when(F.col("new") == a, F.coalesce(value[a], F.lit(0))).otherwise(0) - F.when(F.col("old") == a, F.coalesce(value[a], F.lit(0))).otherwise(0)
+        return F.sum(signed)
+    y = {a: F.col(f"y_{a}") for a in ARMS}
+    first = F.col("old").isNull()
+    cells = materialize(rows.groupBy("cell").agg(
+        total(y).alias("d_right"), total({a: y[a].isNotNull().cast("long") for a in ARMS}).alias("d_known"),
+        *[total({b: F.lit(int(a == b)).cast("long") for b in ARMS}).alias(f"d_{a}") for a in ARMS],
+        F.sum(F.when(first, 1)).alias("n"), F.sum(F.when(first, y["long"])).alias("long_right"), F.count(F.when(first, y["long"])).alias("long_known")))
+    spark = df.sparkSession
+    along = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # one row a grid value
+    names = ["d_right", "d_known", *[f"d_{a}" for a in ARMS], "n", "long_right", "long_known"]
+    listed = spark.createDataFrame(list(enumerate(grid)), "cell int, penalty double").join(cells, "cell", "left")
+    run = listed.select("penalty", *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(along).alias(c) for c in names]).where("n > 0")
+    cost = sum((F.col(f"d_{a}") * F.lit(float(costs[a])) for a in ARMS), F.lit(0.0))
+    table = materialize(run.select(
+        "penalty", ratio(F.col("d_right"), F.col("d_known")).alias("accuracy"), ratio(cost, F.col("n")).alias("mean_token_cost"),
+        ratio(F.col("long_right"), F.col("long_known")).alias("long_accuracy"),
+        *[ratio(F.col(f"d_{a}"), F.col("n")).alias(f"route_rate_{a}") for a in ARMS]))
     ok = table.where(F.col("accuracy") >= F.col("long_accuracy") - max_gap)
     some = ok.agg((F.count(F.lit(1)) > 0).alias("ok"))
     ranked = ok.orderBy("mean_token_cost", F.desc("accuracy"), "penalty").limit(1)

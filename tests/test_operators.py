@@ -211,6 +211,38 @@ def test_rollout_archives(spark, tmp_path):
         read_rollout_archives(spark, str(tmp_path), "bad.tar").collect()
 
 
+@pytest.mark.parametrize("grid", [None, (0.0, 0.05, 0.3, 0.31, 0.9)])
+def test_penalty_from_differences_equals_every_row_on_every_penalty(spark, grid):
+    from retrials.operators import policies as P
+    rng = np.random.default_rng(3)
+    costs = {"short": 1024.0, "medium": 4096.0, "long": 24576.0}
+    # Exact ties on and beside grid points, equal probabilities, nulls and NaN among them.
+    p = np.round(rng.random((400, 3)), 2)
+    p[:60, 2] = np.minimum(1, p[:60, 1] + rng.integers(0, 80, 60) / 100 * (24576 - 4096) / 24576)
+    p[60:80] = 0.5
+    rows = [tuple(float(x) for x in r) + tuple(bool(b) for b in rng.random(3) < (0.3, 0.5, 0.7)) for r in p]
+    rows += [(None, 0.5, 0.4, True, None, True), (0.2, None, 0.9, False, True, None), (0.1, 0.2, None, None, True, False), (float("nan"), 0.5, 0.9, True, True, True)]
+    df = spark.createDataFrame(rows, "p_short double, p_medium double, p_long double, short_correct boolean, medium_correct boolean, long_correct boolean")
+    lams = grid or P.PENALTIES
+    acted = P.with_utilities(df.withColumn("lam", F.explode(F.array(*[F.lit(x) for x in lams]))), F.col("lam"), costs).collect()
+    tables = []
+    for lam in lams:
+        got = [(r.selected_arm, r[f"{r.selected_arm}_correct"], r.long_correct) for r in acted if r.lam == lam]
+        known = [y for _, y, _ in got if y is not None]
+        longs = [y for _, _, y in got if y is not None]
+        tables.append((sum(costs[a] for a, _, _ in got) / len(got), -sum(known) / len(known), lam, sum(longs) / len(longs), *[sum(a == b for b, _, _ in got) / len(got) for a in costs]))
+    gaps = sorted(t[3] + t[1] + 1e-9 for t in tables)
+    chosen = set()
+    for gap in (gaps[0], gaps[len(gaps) // 2], gaps[-1]):
+        want = min(t for t in tables if -t[1] >= t[3] - gap)
+        r = P.select_penalty(df, costs, gap, lams).first()
+        assert np.allclose((r.mean_token_cost, -r.accuracy, r.penalty, r.long_accuracy, r.route_rate_short, r.route_rate_medium, r.route_rate_long), want, atol=1e-12)
+        chosen.add(r.penalty)
+    assert len(chosen) > 1
+    with pytest.raises(Exception, match="no feasible compute penalty"):
+        P.select_penalty(df, costs, gaps[0] - 1e-6, lams).collect()
+
+
 def test_recalibration_falls_back_to_the_scores(spark):
     from retrials.operators import models as K
     one = spark.createDataFrame([(0.2, True), (0.7, True)], f"{K.P} double, y boolean")
