@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retrials.functions.ordered import quantiles, running_sum, with_previous
+from retrials.functions.ordered import position, quantiles, running_sum, with_previous
 from retrials.operators.sampling import with_count
 
 
@@ -40,26 +40,50 @@ def step_signals(states: DataFrame, vec: str = "vec") -> DataFrame:
     )
 
 
-def path_geometry(states: DataFrame, vec: str = "vec") -> DataFrame:
-    """Sparse path length, net displacement, efficiency and turning angles per run."""
-    rows = with_previous(states, ["run_id"], "token_index", {"__p": (vec, 1), "__pp": (vec, 2)})
+def _turns(states: DataFrame, index: str, vec: str) -> DataFrame:
+    """States with their relative step ``r`` and the turning angle ``a`` that ends in them."""
+    rows = with_previous(states, ["run_id"], index, {"__p": (vec, 1), "__pp": (vec, 2)})
     v, p, pp = F.col(vec), F.col("__p"), F.col("__pp")
     tiny = F.lit(1e-12)
     rel = F.when(p.isNotNull(), norm(minus(v, p)) / F.greatest(norm(p), tiny))
     a, b = minus(p, pp), minus(v, p)
     angle = F.when(pp.isNotNull(), F.acos(_clip(dot(a, b) / F.greatest(norm(a) * norm(b), tiny))))
-    staged = rows.select("run_id", "token_index", v.alias("v"), rel.alias("r"), angle.alias("a"))
-    g = staged.groupBy("run_id").agg(
+    return rows.select(*states.columns, rel.alias("r"), angle.alias("a"))
+
+
+def _geometry(turns: DataFrame, keys: Sequence[str], index: str, vec: str, net_name: str) -> DataFrame:
+    g = turns.groupBy(*keys).agg(
         F.sum("r").alias("sparse_path_length"), F.avg("a").alias("turning_angle_mean"), F.var_pop("a").alias("turning_angle_variance"),
-        F.min_by("v", "token_index").alias("first"), F.max_by("v", "token_index").alias("last"), F.count(F.lit(1)).alias("states"),
+        F.min_by(vec, index).alias("first"), F.max_by(vec, index).alias("last"), F.count(F.lit(1)).alias("states"),
     )
-    net = norm(minus(F.col("last"), F.col("first"))) / F.greatest(norm(F.col("first")), tiny)
-    g = g.withColumn("net_displacement", F.when(F.col("states") >= 2, net))
+    net = norm(minus(F.col("last"), F.col("first"))) / F.greatest(norm(F.col("first")), F.lit(1e-12))
+    g = g.withColumn(net_name, F.when(F.col("states") >= 2, net))
     return g.withColumn(
-        "trajectory_efficiency", F.when(F.col("sparse_path_length") > 0, F.col("net_displacement") / F.col("sparse_path_length"))
+        "trajectory_efficiency", F.when(F.col("sparse_path_length") > 0, F.col(net_name) / F.col("sparse_path_length"))
     ).drop("first", "last")
 
 
+def path_geometry(states: DataFrame, vec: str = "vec") -> DataFrame:
+    """Sparse path length, net displacement, efficiency and turning angles per run."""
+    return _geometry(_turns(states.select("run_id", "token_index", vec), "token_index", vec), ["run_id"], "token_index", vec, "net_displacement")
+
+
+def prefix_geometry(states: DataFrame, scoped: DataFrame, prefixes: Sequence[int], vec: str = "vec") -> DataFrame:
+    """Path geometry of the states that fall on tokens of the analysis window, per run and reached prefix, and with
+    a null prefix_length for the whole window.
+
+    A prefix holds the window's first tokens, so a state's predecessor is the same in every prefix:
+    steps and angles are worked out once and only then fan out.  States off the window and null
+    vectors are left out; with fewer than two states all but their count is null, without any there is no row.
+    """
+    kept = states.where(F.col(vec).isNotNull()).select("run_id", "token_index", vec).join(scoped.select("run_id", "token_index", "rn", "n"), ["run_id", "token_index"])
+    placed = position(kept, ["run_id"], ["rn"], "__i").withColumn("__i", F.col("__i") - 1)
+    reached = F.filter(F.array(*[F.lit(p).cast("long") for p in prefixes], F.lit(None).cast("long")),
+                       lambda p: p.isNull() | ((p >= F.col("rn")) & (p <= F.col("n"))))
+    fan = _turns(placed, "__i", vec).withColumn("prefix_length", F.explode(reached))
+    return _geometry(fan, ["run_id", "prefix_length"], "rn", vec, "normalized_net_displacement")
+
+
 def mean_vector(rows: DataFrame, keys: Sequence[str], vec: str = "vec", name: str = "mean_vec") -> DataFrame:
     """Element-wise mean per key; map-side combined per (key, element)."""
     cells = rows.select(*keys, F.posexplode(vec).alias("e", "x")).groupBy(*keys, "e").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -131,10 +131,28 @@ def _(spark, sf):
 @query("q12_feature_table")
 def _(spark, sf):
     t = materialize(X.tokens(spark, sf, True))
-    meta = t.select("run_id", "problem_id", "model_key", "level", "correct").distinct()
+    ended = F.when(F.col("run_id") % 4 == 0, "max_new_tokens").otherwise("eos").alias("finish_reason")
+    meta = t.select("run_id", "problem_id", "model_key", "level", "correct", ended).distinct()
     docs = X.table(spark, sf, "documents")
     surface = surface_counts(docs.select(F.col("doc_id").alias("problem_id"), "text"), "text").drop("text")
-    return S.feature_table(t, meta, surface, P, ["s1", "s2", "s3"], ["s1"], "s3", "s2")
+    return S.feature_table(t, meta, surface, P, ["s1", "s2", "s3"], ["s1"], "s3", "s2", X.vectors(spark, sf), "finish_reason")
+
+
+@query("q12_prefix_geometry", f"""
+WITH pf AS (SELECT unnest({[*P]}) AS p UNION ALL SELECT NULL),
+ j AS (SELECT v.run_id, s.rn, s.n, list_transform(vec, lambda x: cast(x AS double)) AS w FROM vectors v JOIN scoped s ON s.run_id = v.run_id AND s.token_index = v.token_index),
+ k AS (SELECT *, lag(w) OVER o AS p1, lag(w, 2) OVER o AS p2 FROM j WINDOW o AS (PARTITION BY run_id ORDER BY rn)),
+ e AS (SELECT run_id, rn, n, unnest(w) AS w, unnest(p1) AS p, unnest(p2) AS pp FROM k),
+ s AS (SELECT run_id, rn, n, sqrt(sum(p*p)) AS np, sqrt(sum((w-p)*(w-p))) AS nd, sqrt(sum((p-pp)*(p-pp))) AS na, sum((p-pp)*(w-p)) AS ab FROM e GROUP BY ALL),
+ f AS (SELECT s.*, pf.p AS prefix_length, CASE WHEN ab IS NOT NULL THEN acos(greatest(-1, least(1, ab/greatest(na*nd, 1e-12)))) END AS angle FROM s JOIN pf ON pf.p IS NULL OR (rn <= pf.p AND pf.p <= n)),
+ g AS (SELECT run_id, prefix_length, count(*) AS states, sum(nd/greatest(np, 1e-12)) AS pl, avg(angle) AS am, var_pop(angle) AS av, min(rn) AS a, max(rn) AS b FROM f GROUP BY ALL),
+ z AS (SELECT g.run_id, g.prefix_length, unnest(ka.w) AS f, unnest(kb.w) AS l FROM g JOIN k ka ON ka.run_id = g.run_id AND ka.rn = a JOIN k kb ON kb.run_id = g.run_id AND kb.rn = b),
+ nt AS (SELECT run_id, prefix_length, sqrt(sum((l-f)*(l-f)))/greatest(sqrt(sum(f*f)), 1e-12) AS net FROM z GROUP BY ALL)
+SELECT g.run_id, I(g.prefix_length) AS prefix_length, states, R(CASE WHEN states >= 2 THEN net END) AS normalized_net_displacement, R(pl) AS sparse_path_length,
+ R(CASE WHEN pl > 0 THEN net/pl END) AS trajectory_efficiency, R(am) AS turning_angle_mean, R(av) AS turning_angle_variance
+FROM g JOIN nt ON nt.run_id = g.run_id AND nt.prefix_length IS NOT DISTINCT FROM g.prefix_length""")
+def _(spark, sf):
+    return V.prefix_geometry(X.vectors(spark, sf), scoped(spark, sf), P)
 
 
 @query("q13_stream_summary", """

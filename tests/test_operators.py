@@ -243,6 +243,39 @@ def test_penalty_from_differences_equals_every_row_on_every_penalty(spark, grid)
         P.select_penalty(df, costs, gaps[0] - 1e-6, lams).collect()
 
 
+def test_feature_table_has_vector_geometry_and_terminal_flags(spark):
+    rng = np.random.default_rng(8)
+    tokens, states, vecs = [], [], {}
+    for run, size in ((1, 20), (2, 9), (3, 12), (4, 6)):
+        tokens += [(run, i, float(rng.normal()), "thinking" if i >= 2 else "solution") for i in range(size)]
+        for i in range(0, size + 4, {1: 1, 2: 3, 3: 20, 4: 50}[run]):  # also off the window, one state, none on it
+            vecs[run, i] = [0.0] * 3 if (run, i) == (1, 5) else [float(x) for x in rng.normal(size=3)]
+            states.append((run, i, vecs[run, i]))
+    states.append((3, 4, None))
+    t = spark.createDataFrame(tokens, "run_id long, token_index long, s double, segment string")
+    st = spark.createDataFrame(states, "run_id long, token_index long, vec array<double>").repartition(3)
+    meta = spark.createDataFrame([(r, r, r % 2 == 0, "eos" if r < 3 else "max_new_tokens") for r in (1, 2, 3, 4)], "run_id long, problem_id long, correct boolean, finish_reason string")
+    surface = spark.createDataFrame([(1, 5)], "problem_id long, characters long")
+    got = S.feature_table(t, meta, surface, (4, 8), ["s"], states=st, finish="finish_reason").collect()
+    assert sorted((r.run_id, r.prefix_length or 0) for r in got) == [(1, 0), (1, 4), (1, 8), (2, 0), (2, 4), (3, 0), (3, 4), (3, 8), (4, 0), (4, 4)]
+    for r in got:
+        size = {1: 20, 2: 9, 3: 12, 4: 6}[r.run_id]
+        last = size if r.prefix_length is None else 2 + r.prefix_length
+        x = np.array([v for (run, i), v in sorted(vecs.items()) if run == r.run_id and 2 <= i < last]).reshape(-1, 3)
+        want = [None] * 5
+        if len(x) >= 2:
+            d = np.diff(x, axis=0)
+            path = (np.linalg.norm(d, axis=1) / np.maximum(np.linalg.norm(x[:-1], axis=1), 1e-12)).sum()
+            net = np.linalg.norm(x[-1] - x[0]) / max(np.linalg.norm(x[0]), 1e-12)
+            cos = (d[:-1] * d[1:]).sum(axis=1) / np.maximum(np.linalg.norm(d[:-1], axis=1) * np.linalg.norm(d[1:], axis=1), 1e-12)
+            angle = np.arccos(np.clip(cos, -1, 1))
+            want = [net, path, net / path, *((angle.mean(), angle.var()) if len(angle) else (None, None))]
+        have = [r[f"geometry_{c}"] for c in S.HIDDEN]
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * max(1, abs(b))) for a, b in zip(have, want, strict=True)), (r.run_id, r.prefix_length, have, want)
+        forced, correct = r.run_id >= 3, r.run_id % 2 == 0
+        assert (r.normal_completion, r.noncompletion, r.wrong_completion, r.needs_intervention) == (not forced, forced, not correct and not forced, not correct or forced)
+
+
 def test_recalibration_falls_back_to_the_scores(spark):
     from retrials.operators import models as K
     one = spark.createDataFrame([(0.2, True), (0.7, True)], f"{K.P} double, y boolean")
