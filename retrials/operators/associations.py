@@ -32,9 +32,13 @@ def demeaned(df: DataFrame, groups: Sequence[str], values: Sequence[str], prefix
 
 
 def level_adjusted_spearman(df: DataFrame, left: str, right: str, groups: Sequence[str], level: str = "level") -> DataFrame:
-    """Spearman's rho as is and after removing level means, per group."""
+    """Spearman's rho as is and after removing level means, per group.
+
+    Adjusted values are rounded to 12 digits, so that ties don't hang on the last bits of a mean, and written: a mean
+    that is summed again in another order would not meet the ranks of its first sum."""
     raw = spearman(df, left, right, groups).select(*groups, F.col("rho").alias("raw_rho"), "n")
     adj = demeaned(df, [*groups, level], [left, right])
+    adj = materialize(adj.select(*groups, *[F.round(f"adj_{v}", 12).alias(f"adj_{v}") for v in (left, right)]))
     adjusted = spearman(adj, f"adj_{left}", f"adj_{right}", groups).select(*groups, F.col("rho").alias("adjusted_rho"))
     return raw.join(adjusted, list(groups))
 

@@ -403,6 +403,17 @@ def test_bootstrap_over_several_blocks_without_broadcast(spark):
         assert value[d] == pytest.approx((pos * (np.cumsum(neg) - neg / 2)).sum() / pos.sum() / neg.sum())
 
 
+def test_level_adjusted_ranks_tie_across_levels(spark):
+    from retrials.operators import associations as S
+    x = [b + v for b in (0.0, 1.0, 7.0) for v in (0.1, 0.2, 0.3)]
+    y = [1.0, 3.0, 2.0, 6.0, 4.0, 5.0, 7.0, 9.0, 8.0]
+    df = spark.createDataFrame([("m", i // 3, a, b) for i, (a, b) in enumerate(zip(x, y, strict=True))], "g string, level int, x double, y double")
+    got = S.level_adjusted_spearman(df, "x", "y", ["g"]).first()
+    # within each level x is -0.1, 0, 0.1 and y a permutation of -1, 0, 1
+    ax, ay = [-0.1, 0.0, 0.1] * 3, [-1.0, 1.0, 0.0, 1.0, -1.0, 0.0, -1.0, 1.0, 0.0]
+    assert got.n == 9 and got.adjusted_rho == pytest.approx(np.corrcoef(ax, ay)[0, 1])
+
+
 def plain_probe(x, y, fold, components, c=1.0):
     """Standardise, SVD and Newton steps for one problem, all rows at once."""
     out = np.full(len(y), np.nan)
