@@ -42,7 +42,7 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         words = Words(data, offsets, lower=True, gaps=NOT_ALNUM)
         self.first, self.rows, self.size = words.first, words.rows(), words.ends - words.starts
-        _, rep, self.word = np.unique(words.hash, return_index=True, return_inverse=True)
+        self.key, rep, self.word = np.unique(words.hash, return_index=True, return_inverse=True)
         size = self.size[rep]
         self.begin = np.cumsum(size) - size
         place = np.arange(int(size.sum())) - np.repeat(self.begin, size)
@@ -61,16 +61,23 @@ class Texts:
         return np.bincount(np.unique(self.word[held] * n + self.rows[held]) // n, minlength=len(self.begin))
 
 
-def _gathered(sample):
-    """Grams of all rows, with the documents of each class in the sample that hold a word with it."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(sample=None):
+    """Grams of all rows (id, teaches, text, label), with the documents of each label that hold a word with it.
+
+    Rows of label -1 give grams only.  Without that column the labels are looked up in ``sample``, a broadcast of ids and labels."""
+    def labels_of(b: pa.RecordBatch) -> np.ndarray:
+        key, teaches = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+        if sample is None:
+            return np.where(teaches, b.column(3).to_numpy(), -1)
         ids, labels = sample.value
+        at = np.minimum(np.searchsorted(ids, key), max(len(ids) - 1, 0))
+        return np.where((ids[at] == key) & teaches, labels[at], -1) if len(ids) else np.full(len(key), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for b in batches:
             data, offsets = byte_views(b.column(2))
-            key, teaches = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ids, key), max(len(ids) - 1, 0))
-            label = np.where((ids[at] == key) & teaches, labels[at], -1) if len(ids) else np.full(len(key), -1)
+            label = labels_of(b)
             for i, j in blocks(offsets):
                 t = Texts(data, offsets[i: j + 1])
                 if not len(t.grams):
@@ -83,6 +90,15 @@ def _gathered(sample):
     return run
 
 
+def gram_counts(src: DataFrame, known: DataFrame) -> DataFrame:
+    """(gram, c0, c1) of the whole corpus: every row of ``src`` (id, teaches, text) tells which grams there are, and every row
+    that teaches and whose id is in ``known`` (id, label) counts for its label.  Labels meet their rows in a join, however many there are."""
+    kind = "gram bigint, c0 bigint, c1 bigint"
+    everywhere = src.select("id", F.lit(False).alias("teaches"), "text", F.lit(-1).alias("label")).mapInArrow(_gathered(), kind)
+    taught = src.where("teaches").join(known, "id").select("id", "teaches", "text", "label").mapInArrow(_gathered(), kind)
+    return everywhere.unionByName(taught).groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
 def symbols(key: str) -> Column:
     """How many symbols a packed gram has."""
     return sum((F.when(F.shiftright(key, 8 * j) != 0, 1).otherwise(0) for j in range(ORDER)), F.lit(0))
@@ -128,12 +144,18 @@ class Model(NamedTuple):
         return np.add.reduceat(found, t.begin)
 
 
-def fit_models(counts: DataFrame, min_count: int, max_grams: int) -> Model:
-    """``counts``: (gram, c0, c1) of the whole corpus.  Grams under ``min_count`` count towards their context's backoff only."""
+class Tables(NamedTuple):
+    """The same as tables (gram, ratio) and (context, otherwise), for joins."""
+
+    grams: DataFrame
+    contexts: DataFrame
+
+
+def fit_models(counts: DataFrame, min_count: int, max_grams: int) -> Model | Tables:
+    """``counts``: (gram, c0, c1) of the whole corpus.  Grams under ``min_count`` count towards their context's backoff only.
+    Beyond ``max_grams`` grams the model stays a pair of tables."""
     known = counts.where("c0 + c1 > 0")
     kept = known.where(F.col("c0") + F.col("c1") >= min_count)
-    if kept.count() > max_grams:
-        kept = kept.orderBy((F.col("c0") + F.col("c1")).desc(), "gram").limit(max_grams)
     kept = stored(kept, "kept")
     totals = known.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
     less = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
@@ -142,8 +164,11 @@ def fit_models(counts: DataFrame, min_count: int, max_grams: int) -> Model:
     contexts = stored(totals.join(own, "context").withColumn("g0", rest(0)).withColumn("g1", rest(1)), "contexts")
     p = lambda i: F.when(F.col(f"t{i}") > 0, less(f"c{i}") / F.col(f"t{i}")).otherwise(0.0) + F.col(f"g{i}") * F.col("shared")
     grams = kept.join(shared_backoff(counts, kept), "gram").withColumn("context", F.shiftright("gram", 8)).join(contexts, "context")
-    grams = grams.select("gram", F.ln(p(1) / p(0)).alias("ratio")).toArrow().sort_by("gram")
-    contexts = contexts.select("context", F.ln(F.col("g1") / F.col("g0")).alias("otherwise")).toArrow().sort_by("context")
+    grams = grams.select("gram", F.ln(p(1) / p(0)).alias("ratio"))
+    contexts = contexts.select("context", F.ln(F.col("g1") / F.col("g0")).alias("otherwise"))
+    if kept.count() > max_grams:
+        return Tables(stored(grams, "ratios"), contexts)
+    grams, contexts = grams.toArrow().sort_by("gram"), contexts.toArrow().sort_by("context")
     return Model(*(t.column(c).to_numpy() for t, c in ((grams, "gram"), (grams, "ratio"), (contexts, "context"), (contexts, "otherwise"))))
 
 
@@ -165,6 +190,46 @@ def _measured(model):
     return run
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of the distinct words of a block."""
+    for b in batches:
+        data, offsets = byte_views(b.column(0))
+        for i, j in blocks(offsets):
+            t = Texts(data, offsets[i: j + 1])
+            at = pa.array(np.append(t.begin, len(t.grams)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(t.key.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(t.grams))], names=["word", "grams"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row the distinct words and how often each stands in it."""
+    for b in batches:
+        data, offsets = byte_views(b.column(b.num_columns - 1))
+        for i, j in blocks(offsets):
+            t, n = Texts(data, offsets[i: j + 1]), j - i
+            pair, many = np.unique(t.rows.astype(np.int64) * max(len(t.key), 1) + t.word, return_counts=True)
+            row, word = np.divmod(pair, max(len(t.key), 1))
+            at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(at, pa.array(x)) for x in (t.key.view(np.int64)[word], many))
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, n) for c in b.columns[:-1]), *lists], names=[*b.schema.names[:-1], "words", "counts"])
+
+
+def joined_features(src: DataFrame, tables: Tables) -> DataFrame:
+    """What ``_measured`` gives for ``src`` (columns, text last), by joins of the distinct words with tables of any size."""
+    kept = src.columns[:-1]
+    kinds = dict(src.dtypes)
+    spelled = src.select(src.columns[-1]).mapInArrow(_spelled, "word bigint, grams array<bigint>").groupBy("word").agg(F.first("grams").alias("grams"))
+    grams = spelled.select("word", F.size("grams").alias("size"), F.explode("grams").alias("gram")).withColumn("context", F.shiftright("gram", 8))
+    known = grams.join(tables.grams, "gram", "left").join(tables.contexts, "context", "left")
+    words = stored(known.groupBy("word", "size").agg(F.sum(F.coalesce("ratio", "otherwise", F.lit(0.0))).alias("ratio")), "words")
+    counted = src.mapInArrow(_counted, "".join(f"{c} {kinds[c]}, " for c in kept) + "words array<bigint>, counts array<bigint>")
+    rows = stored(counted.withColumn("row", F.monotonically_increasing_id()), "counted")
+    each = rows.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).join(words, "word")
+    over = [F.sum(F.col("n") * F.greatest(F.col("ratio") - m, F.lit(0.0))) for m in MARGINS]
+    sums = each.groupBy("row").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum(F.col("n") * F.col("size"))).alias(FEATURES[0]), F.greatest(F.max("ratio"), F.lit(0.0)).alias(FEATURES[1]), *(
+        c.alias(f"{kind}_excess_{i}") for i, x in enumerate(over) for kind, c in (("mean", x / F.sum("n")), ("log", F.log1p(x)))))
+    return rows.join(sums, "row", "left").select(*kept, *(F.coalesce(x, F.lit(0.0)).alias(x) for x in FEATURES))
+
+
 def judged(known: DataFrame) -> Column:
     """The score as a column of the features, fitted on ``known`` (features and label)."""
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -178,12 +243,12 @@ def judged(known: DataFrame) -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1,
-          max_rows: int = 50_000, min_count: int = 3, max_grams: int = 1 << 19, limit: float = 0.7) -> DataFrame:
+          min_count: int = 3, max_grams: int = 1 << 19, limit: float = 0.7) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, toxic from ``limit`` on), predicted, and the features.
 
-    Learnt from at most ``max_rows`` labelled ids a class (those of the least id hash), of which a fourth, by a hash of the text,
+    Learnt from all labelled ids that are not held out, of which a fourth, by a hash of the text,
     weighs the features and the rest fills the class counts; the shared counts and all scores
-    cover every document.  The models keep at most ``max_grams`` grams, the most frequent, so what is sent to the tasks stays bounded.
+    cover every document.  A model of at most ``max_grams`` grams is sent to the tasks, a larger one is joined, with the same scores.
     Ids whose crc32 leaves ``held`` modulo ``folds`` are held out: never learnt from.  A null id isn't held out and has no label;
     labels other than 0 and 1, null labels and ids with both labels teach nothing; repeated rows each get their row and each teach.
     Null, empty and wordless texts have zero features, hence one score.  Without labels of both classes the length-normalised ratio stands alone.
@@ -192,14 +257,14 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     known = (labels.select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).where(~held_out)
              .groupBy(F.xxhash64("doc_id").alias("id")).agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label"))
-    sample = stored(known.where("label = 1").orderBy("id").limit(max_rows).unionByName(known.where("label = 0").orderBy("id").limit(max_rows)), "sample")
-    rows = sample.toArrow().sort_by("id")
-    ids = spark.sparkContext.broadcast((rows.column("id").to_numpy(), rows.column("label").to_numpy()))
+    known = stored(known, "known")
     src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id)).alias("id"), (F.pmod(F.xxhash64(text), F.lit(4)) > 0).alias("teaches"), F.col(text).alias("text"))
-    grams = src.select("id", "teaches", "text").mapInArrow(_gathered(ids), "gram bigint, c0 bigint, c1 bigint")
-    counts = stored(grams.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "grams")
-    model = spark.sparkContext.broadcast(fit_models(counts, min_count, max_grams))
-    features = stored(src.mapInArrow(_measured(model), f"doc_id {kind}, id bigint, teaches boolean, {', '.join(f'{x} double' for x in FEATURES)}"), "features")
-    weighing = features.where(~F.col("teaches") & F.col("doc_id").isNotNull()).join(sample, "id")
+    teaching = src.select("id", (F.col("teaches") & F.col("doc_id").isNotNull() & ~held_out).alias("teaches"), "text")
+    counts = stored(gram_counts(teaching, known), "grams")
+    model = fit_models(counts, min_count, max_grams)
+    features = joined_features(src, model) if isinstance(model, Tables) else src.mapInArrow(
+        _measured(spark.sparkContext.broadcast(model)), f"doc_id {kind}, id bigint, teaches boolean, {', '.join(f'{x} double' for x in FEATURES)}")
+    features = stored(features, "features")
+    weighing = features.where(~F.col("teaches") & F.col("doc_id").isNotNull()).join(known, "id")
     out = features.select("doc_id", held_out.alias("held_out"), judged(weighing).alias("score"), *FEATURES)
     return out.select(F.col("doc_id").alias(doc_id), "held_out", "score", (F.col("score") >= limit).cast("int").alias("predicted"), *FEATURES)

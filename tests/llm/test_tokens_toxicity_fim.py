@@ -263,6 +263,27 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert len(same) == 1
 
 
+def test_large_model_is_joined_and_whole(spark):
+    texts, labels = labelled_corpus()
+    texts += [(None, texts[0][1]), (5000, None), (5001, " ;!"), texts[3], texts[3]]
+    docs = spark.createDataFrame(rows_of(texts), DOCS).repartition(3)
+    marks = spark.createDataFrame([*labels.items()], "doc_id bigint, toxic int")
+    small, large = (sorted((r.doc_id or -1, *r[4:], r.score) for r in toxicity.score(docs, marks, max_grams=m).collect()) for m in (1 << 19, 20))
+    assert len(large) == len(texts) and np.allclose(small, large, atol=1e-6)
+
+
+def test_every_label_teaches(spark, monkeypatch):
+    n, told, fit = 80_000, [], toxicity.fit_models
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("thon x"), F.col("id") % 500).alias("text")).repartition(8)
+    marks = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 100 == 0).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "fit_models", lambda counts, *how: told.append(counts) or fit(counts, *how))
+    toxicity.score(docs, marks)
+    taught = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1 and pmod(xxhash64(text), 4) > 0")
+    want = [taught.where(f"doc_id % 100 {sign} 0").count() for sign in ("<>", "=")]
+    got = told[0].where(F.col("gram") == packed((toxicity.START, *b"t"))).first()
+    assert want[0] > 37_600 and [got.c0, got.c1] == want
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame(rows_of([(1, "some words"), (2, None)]), DOCS)
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
