@@ -403,6 +403,16 @@ def test_bootstrap_over_several_blocks_without_broadcast(spark):
         assert value[d] == pytest.approx((pos * (np.cumsum(neg) - neg / 2)).sum() / pos.sum() / neg.sum())
 
 
+def test_picks_take_about_two_bits(spark):
+    from retrials.operators import resampling as B
+    for counts in (np.array([0, 3, 0, 1, 1]), np.array([0] * 500 + [2] + [0] * 90 + [1]), np.array([900, 0, 7]), np.zeros(9, int)):
+        assert B._as_cells(B._as_packed(counts.astype(np.uint32)), len(counts)).tolist() == counts.tolist()
+    n, draws = 20000, 12
+    indexed = B.index_clusters(spark.range(n).select(F.col("id").alias("problem_id")), [], "problem_id")
+    size = B.pick_blocks(indexed, [], draws, "b").agg(F.sum(F.length("picks"))).first()[0]
+    assert size < 0.3 * n * draws
+
+
 def test_level_adjusted_ranks_tie_across_levels(spark):
     from retrials.operators import associations as S
     x = [b + v for b in (0.0, 1.0, 7.0) for v in (0.1, 0.2, 0.3)]
