@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrials.llm.common import _LOWER, NOT_ALNUM, Words, blocks, byte_views, stored
+from retrials.llm.repeated_passages import Filter
 
 ORDER = 6
 START = 1
@@ -90,12 +91,23 @@ def _gathered(sample=None):
     return run
 
 
+def _likely(held):
+    """Rows whose id, first in them, the bitmap may hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(held.value.may_hold(b.column(0).to_numpy().view(np.uint64))))
+    return run
+
+
 def gram_counts(src: DataFrame, known: DataFrame) -> DataFrame:
     """(gram, c0, c1) of the whole corpus: every row of ``src`` (id, teaches, text) tells which grams there are, and every row
-    that teaches and whose id is in ``known`` (id, label) counts for its label.  Labels meet their rows in a join, however many there are."""
+    that teaches and whose id is in ``known`` (id, label) counts for its label.  Labels meet their rows in a join, however many there are;
+    a bitmap keeps most texts without a label off its shuffle."""
     kind = "gram bigint, c0 bigint, c1 bigint"
     everywhere = src.select("id", F.lit(False).alias("teaches"), "text", F.lit(-1).alias("label")).mapInArrow(_gathered(), kind)
-    taught = src.where("teaches").join(known, "id").select("id", "teaches", "text", "label").mapInArrow(_gathered(), kind)
+    held = src.sparkSession.sparkContext.broadcast(Filter.of(known, "id"))
+    likely = src.where("teaches").select("id", "text").mapInArrow(_likely(held), "id bigint, text string")
+    taught = likely.join(known, "id").select("id", F.lit(True).alias("teaches"), "text", "label").mapInArrow(_gathered(), kind)
     return everywhere.unionByName(taught).groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
