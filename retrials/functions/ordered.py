@@ -87,14 +87,17 @@ def running_sum(
     cuts: Column | None = None,
     hashed: bool = False,
     bucket: Column | None = None,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key along ``order``; ties of ``order`` must not matter.
 
     Keys must be non-NULL.  ``cuts`` may be given to reuse the cut points of a cheaper
     table over the same order domain; ``hashed`` says the first order column is a
     uniform 60-bit hash, which needs no cut points at all; ``bucket`` is any other
-    expression that never decreases along ``order``.
+    expression that never decreases along ``order``; ``totals`` maps the name of a key's
+    total to that of its running sum, so that no row has to be joined to it by key.
     """
+    totals = totals or {}
     if bucket is not None:
         bucketed = df.withColumn(_B, bucket)
     elif hashed:
@@ -104,23 +107,24 @@ def running_sum(
     spans = [*keys, _B]
     local = Window.partitionBy(*spans).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy(*spans).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    offsets = totals.select(
-        *spans, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in sums]
+    parts = bucketed.groupBy(*spans).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    offsets = parts.select(
+        *spans, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in sums],
+        *[F.sum(f"__t_{n}").over(Window.partitionBy(*keys)).alias(t) for t, n in totals.items()],
     )
     rows = bucketed.select("*", *[F.sum(c).over(local).alias(f"__l_{n}") for n, c in sums.items()])
     joined = rows.join(offsets, spans, "inner")
     kept = [c for c in df.columns if c not in sums]
     return joined.select(
-        *kept, *[(F.col(f"__l_{n}") + F.col(f"__p_{n}")).alias(n) for n in sums]
+        *kept, *[(F.col(f"__l_{n}") + F.col(f"__p_{n}")).alias(n) for n in sums], *totals
     )
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", hashed: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", hashed: bool = False, count: str | None = None
 ) -> DataFrame:
-    """1-based row number per key; ``order`` must identify a row."""
-    return running_sum(df, keys, order, {name: F.lit(1).cast("long")}, hashed=hashed)
+    """1-based row number per key, with the key's size as ``count`` if named; ``order`` must identify a row."""
+    return running_sum(df, keys, order, {name: F.lit(1).cast("long")}, hashed=hashed, totals={count: name} if count else None)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, **weights: Column) -> DataFrame:
@@ -148,9 +152,7 @@ def quantiles(
     """
     clean = df.where(F.col(value).isNotNull())
     counts = materialize(value_counts(clean, keys, value))
-    run = running_sum(counts, keys, [value], {"__upto": F.col("n")})
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__n"))
-    placed = run.join(totals, list(keys)) if keys else run.withColumn("__n", totals.scalar())
+    placed = running_sum(counts, keys, [value], {"__upto": F.col("n")}, totals={"__n": "__upto"})
     picks = []
     for name, p in probs.items():
         target = (F.col("__n") - 1) * F.lit(float(p))

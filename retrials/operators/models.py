@@ -30,10 +30,9 @@ def numeric_statistics(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature: median of the finite train values, then mean and population sd after filling."""
     long = melt(train.select(*[finite(F.col(f)).alias(f) for f in features]), [], features, "feature")
     med = quantiles(long, ["feature"], "value", {"median": 0.5})
-    all_rows = long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
-    filled = long.join(all_rows.join(med, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0))), "feature").withColumn(
-        "v", F.coalesce("value", "median")
-    )
+    # one small map, not a join: a handful of features would leave as many tasks with all the rows
+    by_name = med.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median")))).scalar()
+    filled = long.withColumn("median", F.coalesce(F.try_element_at(by_name, F.col("feature")), F.lit(0.0))).withColumn("v", F.coalesce("value", "median"))
     return filled.groupBy("feature").agg(F.max("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
 
 

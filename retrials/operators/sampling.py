@@ -26,11 +26,12 @@ def _key(seed: str, strata: Sequence[str], ident: str) -> Column:
 
 
 def hash_rank(
-    df: DataFrame, seed: str, ident: str, strata: Sequence[str] = (), name: str = "hash_rank", salt: Sequence[str] | None = None
+    df: DataFrame, seed: str, ident: str, strata: Sequence[str] = (), name: str = "hash_rank", salt: Sequence[str] | None = None,
+    count: str | None = None,
 ) -> DataFrame:
-    """1-based rank in hash order within each stratum; ``salt`` names the hashed columns."""
+    """1-based rank in hash order within each stratum; ``salt`` names the hashed columns, ``count`` the stratum's size."""
     keyed = df.withColumn(_H, _key(seed, strata if salt is None else salt, ident))
-    return position(keyed, list(strata), [_H, ident], name, hashed=True).drop(_H)
+    return position(keyed, list(strata), [_H, ident], name, hashed=True, count=count).drop(_H)
 
 
 def with_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def split_by_problem(
     strata: Sequence[str] = (), ident: str = "problem_id",
 ) -> DataFrame:
     """Train/validation/test labels with banker-rounded sizes, optionally per stratum."""
-    ranked = with_count(hash_rank(problems, seed, ident, strata, "__r"), strata, "__n")
+    ranked = hash_rank(problems, seed, ident, strata, "__r", count="__n")
     n_train, n_val = F.bround(F.col("__n") * train), F.bround(F.col("__n") * validation)
     label = (
         F.when(F.col("__r") <= n_train, "train")
@@ -57,7 +58,7 @@ def low_high_strata(
     df: DataFrame, groups: Sequence[str], score: str, ident: str, name: str = "uncertainty_stratum"
 ) -> DataFrame:
     """Lower and upper half by exact rank; the odd median row stays unassigned."""
-    ranked = with_count(position(df, list(groups), [score, ident], "__r"), list(groups), "__n")
+    ranked = position(df, list(groups), [score, ident], "__r", count="__n")
     half = F.floor(F.col("__n") / 2)
     label = (
         F.when(F.col("__r") <= half, "low").when(F.col("__r") > F.col("__n") - half, "high")
@@ -134,7 +135,7 @@ def evenly_spaced(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], picks: int
 ) -> DataFrame:
     """Rows at floor(linspace(0, n-1, picks)) of each group's order."""
-    ranked = with_count(position(df, list(groups), list(order), "__r"), list(groups), "__n")
+    ranked = position(df, list(groups), list(order), "__r", count="__n")
     # Row i (0-based) is a grid point when some j in [0, picks) maps to it; j is near i*(picks-1)/(n-1).
     i, last = F.col("__r") - 1, F.col("__n") - 1
     j0 = F.when(last > 0, F.floor(i * (picks - 1) / F.greatest(last, F.lit(1)))).otherwise(F.lit(0))

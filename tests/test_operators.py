@@ -464,3 +464,31 @@ def test_problem_scores_follow_one_rule_at_any_size(spark):
         want = plain_probe(x[g["vec_id"]], g["y"].to_numpy(float), g["fold"].to_numpy(), 4)
         assert np.abs(want - g["p"]).max() < 1e-6, problem
     assert K.problem_scores(df.drop("fold").limit(0), components=4, folds=3).count() == 0
+
+
+def _joins(df) -> list[str]:
+    """The conditions of the joins in the optimised plan."""
+    import re
+    return re.findall(r"Join \w+, (.*)", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_few_keys_do_not_gather_rows(spark):
+    rows = spark.range(400).selectExpr("id AS problem_id", "id % 3 AS level", "id % 2 = 0 AS correct")
+    split = M.split_by_problem(rows, "s", strata=["level"])
+    halves = M.low_high_strata(rows.selectExpr("*", "problem_id % 7 AS s"), ["level"], "s", "problem_id")
+    # rows meet the totals of their (key, bucket), never all rows of a key
+    for df in (split, halves):
+        assert _joins(df) and all("__bucket" in c for c in _joins(df))
+    got = {(r["level"], r["research_split"]): r["n"] for r in split.groupBy("level", "research_split").agg(F.count("*").alias("n")).collect()}
+    assert got[0, "train"] == 80 and got[1, "validation"] == 27 and sum(got.values()) == 400
+    assert {(r["level"], r["uncertainty_stratum"]): r["count"] for r in halves.groupBy("level", "uncertainty_stratum").count().collect()}[1, "low"] == 66
+
+
+def test_statistics_of_features_do_not_gather_rows(spark):
+    from retrials.operators import models as K
+    rows = spark.createDataFrame([(1.0, None, None), (2.0, 4.0, None), (None, 8.0, None), (6.0, float("nan"), None)], "a double, b double, c double")
+    stats = K.numeric_statistics(rows, ["a", "b", "c"])
+    assert all("__bucket" in c for c in _joins(stats))
+    got = {r["feature"]: (r["median"], r["mean"], r["sd"]) for r in stats.collect()}
+    assert got["a"] == pytest.approx((2.0, 2.75, np.std([1, 2, 2, 6])))
+    assert got["b"] == pytest.approx((6.0, 6.0, np.std([6, 4, 8, 6]))) and got["c"] == (0.0, 0.0, 0.0)
