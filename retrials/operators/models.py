@@ -149,11 +149,14 @@ def platt(calibration: DataFrame, apply: DataFrame, label: str, score: str = P)
 
 
 def metric_report(scored: DataFrame, score: str, label: str, draws: int = B.DRAWS) -> DataFrame:
-    """AUROC with clustered interval, average precision, Brier, log-loss and ECE in one row."""
+    """AUROC with clustered interval, average precision, Brier, log-loss and ECE in one row.
+
+    Every part is written by itself, and so is the row: one plan of all of them, of all reports of a grid even, would
+    hold hundreds of stages, threads and their metrics on the driver at a time."""
     s = materialize(scored.select("problem_id", F.col(score).alias("s"), F.col(label).cast("long").alias("y")))
-    one = D.auroc(s, "s", "y").select("auroc").join(D.average_precision(s, "s", "y"), F.lit(True))
-    one = one.join(D.proper_scores(s, "s", "y"), F.lit(True)).join(D.calibration_error(s, "s", "y"), F.lit(True))
-    return one.join(B.metric_interval(s, "s", "y", draws=draws), F.lit(True))
+    parts = [D.auroc(s, "s", "y").select("auroc"), D.average_precision(s, "s", "y"), D.proper_scores(s, "s", "y"),
+             D.calibration_error(s, "s", "y"), B.metric_interval(s, "s", "y", draws=draws)]
+    return materialize(reduce(lambda a, b: a.join(b, F.lit(True)), [materialize(p) for p in parts]))
 
 
 def evaluate(

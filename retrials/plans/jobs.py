@@ -48,8 +48,10 @@ def difficulty_ceiling(attempts: DataFrame, draws: int = B.DRAWS, seed: str = "b
     reps = B.replicate_auroc(hist, "loo_rate", draws=draws, seed=seed)
 
     def point(score: str) -> DataFrame:
-        return D.auroc_from_histogram(materialize(_histogram(rows, [], score)), [], score).select("auroc")
+        return materialize(D.auroc_from_histogram(materialize(_histogram(rows, [], score)), [], score).select("auroc"))
 
-    return B.interval(reps, [], "value").join(size, F.lit(True)).withColumn(
+    # written one by one, so that the driver never holds the plan of all of them
+    ci, whole = materialize(B.interval(reps, [], "value")), materialize(size)
+    return ci.join(whole, F.lit(True)).withColumn(
         "auroc_loo", point("loo_rate").scalar()
     ).withColumn("auroc_upper", point("problem_rate").scalar())

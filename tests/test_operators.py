@@ -492,3 +492,16 @@ def test_statistics_of_features_do_not_gather_rows(spark):
     got = {r["feature"]: (r["median"], r["mean"], r["sd"]) for r in stats.collect()}
     assert got["a"] == pytest.approx((2.0, 2.75, np.std([1, 2, 2, 6])))
     assert got["b"] == pytest.approx((6.0, 6.0, np.std([6, 4, 8, 6]))) and got["c"] == (0.0, 0.0, 0.0)
+
+
+def test_reports_are_written_before_they_are_joined(spark):
+    from retrials.operators import models as K
+    rows = spark.range(300).selectExpr("id % 40 AS problem_id", "(id * 37 % 101) / 101 AS s", "id % 3 = 0 AS correct")
+    report = K.metric_report(rows, "s", "correct", draws=20)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and "MapInArrow" not in plan
+    row = report.first()
+    y, p = np.arange(300) % 3 == 0, (np.arange(300) * 37 % 101) / 101
+    pairs = np.subtract.outer(p[y], p[~y])
+    assert row["auroc"] == pytest.approx(((pairs > 0) + (pairs == 0) / 2).mean()) and row["used_draws"] == 20
+    assert row["brier"] == pytest.approx(((p - y) ** 2).mean()) and row["ci_low"] <= row["auroc"] <= row["ci_high"]
