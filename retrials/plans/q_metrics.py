@@ -235,8 +235,7 @@ def _(spark, sf):
  s AS (SELECT p, sum(auroc*f)/sum(f) AS v FROM a GROUP BY 1)
 SELECT count(*) AS permutations, R(min(v)) AS null_min, R(max(v)) AS null_max FROM s""")
 def _(spark, sf):
-    perm = materialize(B.permuted_labels(X.attempts(spark, sf), 12))
-    per = D.auroc(perm, "tokens", "permuted", ["permutation", "problem_id"]).where("auroc is not null")
+    per = B.permuted_aurocs(X.attempts(spark, sf), 12, "tokens")
     stat = per.groupBy("permutation").agg((F.sum(F.col("auroc") * F.col("negatives")) / F.sum("negatives")).alias("v"))
     return stat.agg(F.count(F.lit(1)).alias("permutations"), F.min("v").alias("null_min"), F.max("v").alias("null_max"))
 

@@ -505,3 +505,14 @@ def test_reports_are_written_before_they_are_joined(spark):
     pairs = np.subtract.outer(p[y], p[~y])
     assert row["auroc"] == pytest.approx(((pairs > 0) + (pairs == 0) / 2).mean()) and row["used_draws"] == 20
     assert row["brier"] == pytest.approx(((p - y) ** 2).mean()) and row["ci_low"] <= row["auroc"] <= row["ci_high"]
+
+
+def test_permutation_null_shuffles_rows_once(spark):
+    from retrials.operators import resampling as B
+    rows = spark.range(900).selectExpr("CASE WHEN id < 400 THEN 7 ELSE id % 23 END AS problem_id", "hash(id) AS run_id", "CASE WHEN id % 31 <> 0 THEN id * 13 % 17 END AS tokens",
+                                       "CASE WHEN id % 29 <> 0 THEN id % 4 = 0 END AS correct")
+    want = D.auroc(B.permuted_labels(rows, 3), "tokens", "permuted", ["permutation", "problem_id"]).where("auroc is not null")
+    key = lambda df: sorted(tuple(r) for r in df.select("permutation", "problem_id", "auroc", "negatives").collect())
+    whole = B.permuted_aurocs(rows, 3, "tokens")
+    assert key(whole) == key(want) == key(B.permuted_aurocs(rows, 3, "tokens", most=100)) and len(key(want)) == 69
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
