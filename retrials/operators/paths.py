@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retrials.functions.lineage import materialize
 from retrials.functions.ordered import position, quantiles, running_sum, with_previous
 from retrials.operators.sampling import with_count
 
@@ -76,11 +77,12 @@ def prefix_geometry(states: DataFrame, scoped: DataFrame, prefixes: Sequence[int
     steps and angles are worked out once and only then fan out.  States off the window and null
     vectors are left out; with fewer than two states all but their count is null, without any there is no row.
     """
-    kept = states.where(F.col(vec).isNotNull()).select("run_id", "token_index", vec).join(scoped.select("run_id", "token_index", "rn", "n"), ["run_id", "token_index"])
-    placed = position(kept, ["run_id"], ["rn"], "__i").withColumn("__i", F.col("__i") - 1)
+    given = materialize(states.where(F.col(vec).isNotNull()).select("run_id", "token_index", vec))
+    kept = materialize(given.join(scoped.select("run_id", "token_index", "rn", "n"), ["run_id", "token_index"]))
+    placed = materialize(position(kept, ["run_id"], ["rn"], "__i").withColumn("__i", F.col("__i") - 1))
     reached = F.filter(F.array(*[F.lit(p).cast("long") for p in prefixes], F.lit(None).cast("long")),
                        lambda p: p.isNull() | ((p >= F.col("rn")) & (p <= F.col("n"))))
-    fan = _turns(placed, "__i", vec).withColumn("prefix_length", F.explode(reached))
+    fan = materialize(_turns(placed, "__i", vec)).withColumn("prefix_length", F.explode(reached))
     return _geometry(fan, ["run_id", "prefix_length"], "rn", vec, "normalized_net_displacement")
 
 

@@ -7,6 +7,7 @@ from retrials.operators import aggregates as A
 from retrials.operators import contracts as C
 from retrials.operators import discrimination as D
 from retrials.operators import labels as L
+from retrials.operators import paths as V
 from retrials.operators import sampling as M
 from retrials.operators import signals as S
 from retrials.operators import text as Q
@@ -507,6 +508,14 @@ def test_reports_are_written_before_they_are_joined(spark):
     assert row["brier"] == pytest.approx(((p - y) ** 2).mean()) and row["ci_low"] <= row["auroc"] <= row["ci_high"]
 
 
+def test_prefix_geometry_reads_written_steps(spark):
+    rows = spark.range(60).selectExpr("id % 3 AS run_id", "id div 3 AS token_index", "id AS s", "'thinking' AS segment")
+    got = V.prefix_geometry(rows.selectExpr("run_id", "token_index", "array(s, s * s) AS vec"), S.analysis_window(rows), (4, 8))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "scalar-subquery" not in plan
+    assert sorted((r.run_id, r.prefix_length or 0, r.states) for r in got.collect()) == [(i, p, p or 20) for i in range(3) for p in (0, 4, 8)]
+
+
 def test_permutation_null_shuffles_rows_once(spark):
     from retrials.operators import resampling as B
     rows = spark.range(900).selectExpr("CASE WHEN id < 400 THEN 7 ELSE id % 23 END AS problem_id", "hash(id) AS run_id", "CASE WHEN id % 31 <> 0 THEN id * 13 % 17 END AS tokens",
