@@ -221,59 +221,83 @@ def shingles(norm: Column, width: int = 5) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(words), runs), 0))
 
 
-def _rare_first(sets: DataFrame, other: DataFrame, threshold: float, heavy: int) -> DataFrame:
-    """(id, key) for the rarest shingles of each set, enough to meet any partner at ``threshold``.
+def _sets(norm: Column) -> Column:
+    """Hashes of a normalised text's shingles."""
+    return F.transform(shingles(norm), lambda x: F.xxhash64(x))
+
+
+def _rare_first(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """(rid, n, key) for the rarest shingles of each set, enough to meet any partner at ``threshold``.
 
     Two sets with Jaccard >= t share an element among the first n - ceil(t*n) + 1 of each
-    in any common order.  Ordering by rarity keeps boilerplate out of those prefixes, so a
-    shingle found in a third of all texts does not pair them all up.
+    in any common order.  Shingles that only one side has come first and pair with nothing, then the ``common``
+    ones by rarity, so that boilerplate stays out of those prefixes; a set whose prefix is full before is dropped.
     """
-    flat = sets.select("id", "n", F.explode("s").alias("key"))
-    both = flat.select("key").unionByName(other.select(F.explode("s").alias("key")))
-    common = both.groupBy("key").agg(F.count(F.lit(1)).alias("__f")).where(F.col("__f") >= heavy)
-    ranked = flat.join(common, "key", "left").groupBy("id", "n").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("__f", F.lit(0)).alias("f"), "key"))).alias("o")
-    )
-    size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    return ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), F.greatest(size, F.lit(1)))).alias("p")).select("id", "n", F.col("p.key").alias("key"))
-
+    hits = sets.select("rid", F.explode("s").alias("key")).join(common, "key").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("o"))
+    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    left = (F.greatest(size, F.lit(1)) - (F.col("n") - F.size("o"))).cast("int")
+    ranked = hits.join(sets.select("rid", "n"), "rid").withColumn("p", left).where("p > 0")
+    return ranked.select("rid", "n", F.explode(F.slice("o", F.lit(1), F.col("p"))).alias("p")).select("rid", "n", F.col("p.key").alias("key"))
+
+
+def _of_size(sets: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
+    """The sets that are neither too small nor too large for every one of the ``other`` ones."""
+    ends = other.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return sets.where((F.col("n") >= ends.select("lo").scalar() * threshold - 1e-9) & (F.col("n") * threshold - 1e-9 <= ends.select("hi").scalar()))
+
+
+def _near_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, similarity) for all pairs of (id, s, n) rows with Jaccard >= threshold."""
+    b = materialize(right.withColumn("rid", F.monotonically_increasing_id()))
+    a = materialize(_of_size(left, b, threshold).withColumn("rid", F.monotonically_increasing_id()))
+    b = _of_size(b, a, threshold)
+    known = materialize(b.select(F.explode("s").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("fb")))
+    # of the left side's shingles only those that the right side has are counted; a short list of them is broadcast by Spark itself
+    seen = a.select(F.explode("s").alias("key")).join(known.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("fa"))
+    common = materialize(seen.join(known, "key").select("key", (F.col("fa") + F.col("fb")).alias("f")))
+    pa = _rare_first(a, common, threshold).select(F.col("rid").alias("a_rid"), F.col("n").alias("ln"), "key")
+    pb = _rare_first(b, common, threshold).select(F.col("rid").alias("b_rid"), F.col("n").alias("rn"), "key")
+    size_ok = (F.least("ln", "rn") >= F.greatest("ln", "rn") * threshold - 1e-9)
+    pairs = materialize(pa.join(pb, "key").where(size_ok).select("a_rid", "b_rid").distinct())
 
-def near_matches(left: DataFrame, right: DataFrame, threshold: float, heavy: int = 100) -> DataFrame:
-    """(left_id, right_id, similarity) for all pairs of (id, norm) rows with Jaccard >= threshold."""
-    def sets(df: DataFrame) -> DataFrame:
-        s = F.transform(shingles(F.col("norm")), lambda x: F.xxhash64(x))
-        return df.select("id", s.alias("s")).withColumn("n", F.size("s")).where("n > 0")
+    def paired(sets: DataFrame, rid: str, ident: str, s: str) -> DataFrame:
+        """Only sets in a pair are shuffled on."""
+        return sets.join(pairs.select(F.col(rid).alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias(rid), F.col("id").alias(ident), F.col("s").alias(s))
 
-    a, b = materialize(sets(left)), materialize(sets(right))
-    pa = _rare_first(a, b, threshold, heavy).select(F.col("id").alias("left_id"), F.col("n").alias("ln"), "key")
-    pb = _rare_first(b, a, threshold, heavy).select(F.col("id").alias("right_id"), F.col("n").alias("rn"), "key")
-    size_ok = (F.least("ln", "rn") >= F.greatest("ln", "rn") * threshold - 1e-9)
-    pairs = pa.join(pb, "key").where(size_ok).select("left_id", "right_id").distinct()
-    full = pairs.join(a.select(F.col("id").alias("left_id"), F.col("s").alias("ls")), "left_id").join(
-        b.select(F.col("id").alias("right_id"), F.col("s").alias("rs")), "right_id"
-    )
+    full = pairs.join(paired(a, "a_rid", "left_id", "ls"), "a_rid").join(paired(b, "b_rid", "right_id", "rs"), "b_rid")
     shared = F.size(F.array_intersect("ls", "rs"))
     j = shared / (F.size("ls") + F.size("rs") - shared)
     return full.select("left_id", "right_id", j.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def near_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, similarity) for all pairs of (id, norm) rows with Jaccard >= threshold."""
+    def sets(df: DataFrame) -> DataFrame:
+        return df.select("id", _sets(F.col("norm")).alias("s")).withColumn("n", F.size("s")).where("n > 0")
+
+    return _near_sets(sets(left), sets(right), threshold)
+
+
 def overlap_audit(corpus: DataFrame, against: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Rows of ``corpus`` (id, text) that repeat ``against``: reason, similarity and best match.
 
-    Copies of one normalised text are collapsed before any pairing and fanned out at the end.
+    Copies of one normalised text are collapsed before any pairing and fanned out at the end; texts of a size that
+    nothing in ``against`` can match are not shuffled.
     """
-    own = corpus.select("id", normalised(F.col("text")).alias("norm")).withColumn("k", F.sha2("norm", 256))
-    ref = against.select("id", normalised(F.col("text")).alias("norm")).withColumn("k", F.sha2("norm", 256))
-    own, ref = materialize(own), materialize(ref)
-    known = ref.groupBy("k").agg(F.min("id").alias("match_id"))
-    exact = own.join(known, "k").select("id", F.lit("exact").alias("reason"), F.lit(1.0).alias("similarity"), "match_id")
-    rest = own.join(known, "k", "left_anti")
-    texts = rest.groupBy("k").agg(F.first("norm").alias("norm")).select(F.col("k").alias("id"), "norm")
-    refs = ref.groupBy("k").agg(F.min("id").alias("id"), F.first("norm").alias("norm"))
-    found = near_matches(texts, refs.select("id", "norm"), threshold)
-    best = found.groupBy("left_id").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("r"))).alias("m"))
-    near = rest.join(best, rest.k == best.left_id).select(
-        rest.id, F.lit("near").alias("reason"), F.col("m.similarity").alias("similarity"), (-F.col("m.r")).alias("match_id")
+    def read(df: DataFrame) -> DataFrame:
+        norm = df.select("id", normalised(F.col("text")).alias("norm"))
+        return materialize(norm.select("id", F.sha2("norm", 256).alias("k"), _sets(F.col("norm")).alias("s")).withColumn("n", F.size("s")))
+
+    own, ref = read(corpus), read(against)
+    known = materialize(ref.groupBy("k").agg(F.min("id").alias("match_id")))
+    exact = own.select("id", "k").join(known, "k").select("id", F.lit("exact").alias("reason"), F.lit(1.0).alias("similarity"), "match_id")
+    refs = materialize(ref.where("n > 0").groupBy("k").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("n").alias("n")).drop("k"))
+    rest = _of_size(own.where("n > 0"), refs, threshold).join(known, "k", "left_anti")
+    texts = rest.groupBy("k").agg(F.first("s").alias("s"), F.first("n").alias("n")).withColumnRenamed("k", "id")
+    found = _near_sets(texts, refs, threshold)
+    best = materialize(found.groupBy("left_id").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("r"))).alias("m")))
+    near = own.select("id", "k").join(best, F.col("k") == F.col("left_id")).select(
+        "id", F.lit("near").alias("reason"), F.col("m.similarity").alias("similarity"), (-F.col("m.r")).alias("match_id")
     )
     return exact.unionByName(near)
 

@@ -508,6 +508,21 @@ def test_reports_are_written_before_they_are_joined(spark):
     assert row["brier"] == pytest.approx(((p - y) ** 2).mean()) and row["ci_low"] <= row["auroc"] <= row["ci_high"]
 
 
+def test_overlap_pairs_only_what_can_match(spark, monkeypatch):
+    short = [" ".join(f"w{i + j}" for j in range(12)) for i in range(0, 60, 3)]
+    texts = [*short[:10], " ".join(f"w{j}" for j in range(400)), *(" ".join(f"x{i}y{j}" for j in range(12)) for i in range(40))]
+    own = spark.createDataFrame([(i, t + " end") for i, t in enumerate(texts)], "id long, text string")
+    ref = spark.createDataFrame([(i, t) for i, t in enumerate(short)], "id long, text string")
+    written, plain = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df: written.append(plain(df)) or written[-1])
+    got = sorted((r.id, r.reason, r.match_id) for r in Q.overlap_audit(own, ref, 0.8).collect())
+    assert got == [(i, "near", i) for i in range(10)]
+    # the long text is in no set to be paired, and no shingle of one side only is in a written table
+    sets = [df for df in written if "rid" in df.columns]
+    assert sets and all(df.agg(F.max("n")).first()[0] < 20 for df in sets)
+    assert [df.count() for df in written if "f" in df.columns] == [35]
+
+
 def test_rank_interval_makes_no_row_of_a_draw_and_a_cluster(spark, monkeypatch):
     from retrials.operators import resampling as B
     rows = spark.range(90).selectExpr("id AS problem_id", "CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'one' END AS g", "CASE WHEN id % 3 = 2 THEN 1.5 WHEN id % 11 = 7 THEN double('NaN') ELSE id * 37 % 13 / 4.0D END AS x",
