@@ -113,7 +113,8 @@ def running_sum(
         *[F.sum(f"__t_{n}").over(Window.partitionBy(*keys)).alias(t) for t, n in totals.items()],
     )
     rows = bucketed.select("*", *[F.sum(c).over(local).alias(f"__l_{n}") for n, c in sums.items()])
-    joined = rows.join(offsets, spans, "inner")
+    # merged, as the rows are in this order already: a written table's encoded size says little of its rows, and Spark would send millions through the driver
+    joined = rows.join(offsets.hint("merge"), spans, "inner")
     kept = [c for c in df.columns if c not in sums]
     return joined.select(
         *kept, *[(F.col(f"__l_{n}") + F.col(f"__p_{n}")).alias(n) for n in sums], *totals

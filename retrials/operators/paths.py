@@ -78,7 +78,7 @@ def prefix_geometry(states: DataFrame, scoped: DataFrame, prefixes: Sequence[int
     vectors are left out; with fewer than two states all but their count is null, without any there is no row.
     """
     given = materialize(states.where(F.col(vec).isNotNull()).select("run_id", "token_index", vec))
-    kept = materialize(given.join(scoped.select("run_id", "token_index", "rn", "n"), ["run_id", "token_index"]))
+    kept = materialize(given.join(scoped.select("run_id", "token_index", "rn", "n").hint("merge"), ["run_id", "token_index"]))
     placed = materialize(position(kept, ["run_id"], ["rn"], "__i").withColumn("__i", F.col("__i") - 1))
     reached = F.filter(F.array(*[F.lit(p).cast("long") for p in prefixes], F.lit(None).cast("long")),
                        lambda p: p.isNull() | ((p >= F.col("rn")) & (p <= F.col("n"))))

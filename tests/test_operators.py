@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from retrials.functions.lineage import materialize
 from retrials.functions.ordered import mid_ranks, position, quantiles, with_previous
 from retrials.operators import aggregates as A
 from retrials.operators import contracts as C
@@ -579,3 +580,15 @@ def test_permutation_null_shuffles_rows_once(spark):
     whole = B.permuted_aurocs(rows, 3, "tokens")
     assert key(whole) == key(want) == key(B.permuted_aurocs(rows, 3, "tokens", most=100)) and len(key(want)) == 69
     assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_tables_are_merged_not_sent_through_the_driver(spark):
+    rows = spark.range(400).select((F.col("id") % 4).alias("run_id"), F.floor(F.col("id") / 4).alias("token_index"), (F.col("id") % 13).cast("double").alias("s"),
+                                   F.lit("thinking").alias("segment"), F.lit(100).alias("n_tokens"))
+    states = rows.where("token_index % 3 = 0").select("run_id", "token_index", F.array(F.col("s"), F.lit(1.0)).alias("vec"))
+    meta = rows.select("run_id", F.col("run_id").alias("problem_id"), (F.col("run_id") % 2 == 0).alias("correct")).distinct()
+    surface = meta.select("problem_id", F.lit(3).alias("words"))
+    scoped = materialize(S.analysis_window(rows))
+    for df in (position(scoped, ["run_id"], ["token_index"]), quantiles(scoped, ["run_id"], "s", {"m": 0.5}), S.whole_run_summary(scoped, "s"),
+               S.spectrum(scoped, "s"), S.feature_table(rows, meta, surface, (4, 8), ["s"], ["s"], "s", states=states)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
