@@ -19,6 +19,7 @@ from retrials.functions.numeric import finite
 from retrials.functions.ordered import quantiles
 from retrials.operators import discrimination as D
 from retrials.operators import resampling as B
+from retrials.operators import trees as R
 from retrials.operators.aggregates import melt, power_gate
 from retrials.operators.contracts import require, split_overlap
 from retrials.operators.sampling import problem_folds
@@ -118,9 +119,40 @@ def fit_predict(
     """Fit on ``train`` and add probability_1 to ``apply``."""
     if kind == "prior":
         return apply.withColumn(P, F.lit(train.agg(F.avg(F.col(label).cast("double"))).first()[0]))
+    if kind in TREES:
+        return tree_predictions(train, apply, label, numeric, {kind: how}, categorical).withColumnRenamed(kind, P)
     shape = prepare(train, numeric, categorical)
-    fit = {"logistic": logistic, "boosted": boosted_trees, "forest": random_forest}[kind]
-    return predict(fit(materialize(shape(train)), label, **how), shape(apply)).drop(X)
+    return predict(logistic(materialize(shape(train)), label, **how), shape(apply)).drop(X)
+
+
+TREES = {"boosted": boosted_trees, "forest": random_forest}
+
+
+def tree_predictions(
+    train: DataFrame, apply: DataFrame, label: str, numeric: Sequence[str], kinds: Mapping[str, Mapping] | None = None, categorical: Sequence[str] = ()
+) -> DataFrame:
+    """Adds the probability by each kind of trees.
+
+    Numeric features alone make few cells of bins, and trees are grown over their counts; with categories, or more
+    cells than ``trees.CELLS``, Spark's trees are fitted on the rows."""
+    kinds = {k: {} for k in TREES} if kinds is None else kinds
+    if not categorical:
+        fill = {r.feature: r.median for r in numeric_statistics(train, numeric).collect()}
+        named = {f: f"{f}__b" for f in numeric}
+
+        def filled(df: DataFrame) -> DataFrame:
+            return df.withColumns({named[f]: F.coalesce(finite(F.col(f).cast("double")), F.lit(fill.get(f, 0.0))) for f in numeric})
+
+        cuts = R.thresholds(filled(train), list(named.values()))
+        known, asked = (R.with_cell(filled(df), cuts).drop(*named.values()) for df in (train, apply))
+        scores = R.cell_scores(known, asked, label, [len(c) + 1 for c in cuts.values()], kinds)
+        if scores is not None:
+            return asked.join(scores, R.CELL).drop(R.CELL)
+    shape = prepare(train, numeric, categorical)
+    rows, out = materialize(shape(train)), shape(apply)
+    for kind, how in kinds.items():
+        out = predict(TREES[kind](rows, label, **how), out, kind)
+    return out.drop(X)
 
 
 #: Bound of probabilities before the logit, inverse penalty of the recalibration.

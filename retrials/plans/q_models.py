@@ -48,10 +48,8 @@ def _(spark, sf):
 def _(spark, sf):
     rows = frame(spark, sf)
     tr, te = rows.where("research_split = 'train'"), rows.where("research_split = 'test'")
-    out = te.select("run_id")
-    for kind in ("boosted", "forest", "prior"):
-        out = out.join(K.fit_predict(tr, te, "correct", FEATURES, kind=kind).select("run_id", F.col(K.P).alias(kind)), "run_id")
-    return out
+    both = K.tree_predictions(tr, te, "correct", FEATURES)
+    return K.fit_predict(tr, both, "correct", FEATURES, kind="prior").select("run_id", "boosted", "forest", F.col(K.P).alias("prior"))
 
 
 @query("k05_platt_calibration")

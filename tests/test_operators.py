@@ -8,10 +8,12 @@ from retrials.operators import aggregates as A
 from retrials.operators import contracts as C
 from retrials.operators import discrimination as D
 from retrials.operators import labels as L
+from retrials.operators import models as K
 from retrials.operators import paths as V
 from retrials.operators import sampling as M
 from retrials.operators import signals as S
 from retrials.operators import text as Q
+from retrials.operators import trees as R
 
 
 def probes(spark, rows):
@@ -592,3 +594,42 @@ def test_written_tables_are_merged_not_sent_through_the_driver(spark):
     for df in (position(scoped, ["run_id"], ["token_index"]), quantiles(scoped, ["run_id"], "s", {"m": 0.5}), S.whole_run_summary(scoped, "s"),
                S.spectrum(scoped, "s"), S.feature_table(rows, meta, surface, (4, 8), ["s"], ["s"], "s", states=states)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _tree_rows(spark):
+    h = lambda k, n: F.abs(F.xxhash64(F.lit(k), "id")) % n
+    rows = spark.range(3000).select(F.col("id").alias("run_id"), h(1, 9).cast("double").alias("a"), F.when(h(2, 7) > 0, h(3, 12) / 4).alias("b"), h(4, 25).alias("c"),
+                                    h(5, 100).alias("noise"))
+    return rows.withColumn("correct", F.col("noise") < 15 + 5 * F.col("a") + F.when(F.col("c") > 11, 20).otherwise(0)).drop("noise")
+
+
+def test_trees_over_cells_are_those_over_rows(spark, monkeypatch):
+    rows = materialize(_tree_rows(spark))
+    train, test = rows.where("run_id % 3 > 0"), rows.where("run_id % 3 = 0")
+    kinds = {"boosted": {"rounds": 8}, "forest": {"trees": 40}}
+    cells = {r.run_id: r for r in K.tree_predictions(train, test, "correct", ["a", "b", "c"], kinds).collect()}
+    monkeypatch.setattr(R, "CELLS", 100)
+    plain = {r.run_id: r for r in K.tree_predictions(train, test, "correct", ["a", "b", "c"], kinds).collect()}
+    assert len(cells) == len(plain) == 1000
+    apart = [abs(cells[i].boosted - plain[i].boosted) for i in cells]
+    assert max(apart) < 1e-6
+    assert np.mean([abs(cells[i].forest - plain[i].forest) for i in cells]) < 0.05
+    assert np.corrcoef([cells[i].forest for i in cells], [plain[i].forest for i in cells])[0, 1] > 0.9
+
+
+def test_rounds_of_boosting_are_no_jobs(spark):
+    rows = materialize(_tree_rows(spark))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    counted = []
+    for rounds in (2, 12):
+        start = jobs()
+        assert K.fit_predict(rows, rows.limit(50), "correct", ["a", "c"], kind="boosted", rounds=rounds).count() == 50
+        counted.append(jobs() - start)
+    assert counted[0] == counted[1]
+
+
+def test_cuts_of_a_feature_with_many_values(spark):
+    rows = spark.range(6400).select((F.col("id") * 0.5).alias("x"), (F.col("id") % 3).cast("double").alias("y"), F.lit(1.0).alias("z"))
+    cuts = R.thresholds(rows, ["x", "y", "z"])
+    assert cuts["x"] == [100.0 * k - 0.25 for k in range(1, 32)] and cuts["y"] == [0.5, 1.5] and cuts["z"] == []
+    assert sorted(r["count"] for r in R.with_cell(rows.select("x"), {"x": cuts["x"]}).groupBy(R.CELL).count().collect()) == [200] * 32
