@@ -8,12 +8,12 @@ cell its score, and rows are joined to the scores.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +45,15 @@ def thresholds(rows: DataFrame, features: Sequence[str]) -> dict[str, list[float
 
 def with_cell(rows: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
     """Rows with the number of their cell."""
-    number, size = F.lit(0).cast("long"), 1
-    for f, at in cuts.items():
-        number = reduce(add, [(F.col(f) >= F.lit(c)).cast("long") * F.lit(size).cast("long") for c in at], number)
+    several = {f: at for f, at in cuts.items() if at}
+    if not several:
+        return rows.withColumn(CELL, F.lit(0).cast("long"))
+    kept, size, number = rows.columns, 1, F.lit(0).cast("long")
+    binned = Bucketizer(splitsArray=[[-math.inf, *at, math.inf] for at in several.values()], inputCols=list(several), outputCols=[f"{f}__k" for f in several]).transform(rows)
+    for f, at in several.items():
+        number = number + F.col(f"{f}__k").cast("long") * F.lit(size).cast("long")
         size *= len(at) + 1
-    return rows.withColumn(CELL, number)
+    return binned.select(*kept, number.alias(CELL))
 
 
 def _bins(cell: np.ndarray, widths: Sequence[int]) -> np.ndarray:
