@@ -180,14 +180,14 @@ def platt(calibration: DataFrame, apply: DataFrame, label: str, score: str = P)
     return predict(model, ready.withColumn(X, array_to_vector(F.array(logit(F.col(score))))), "calibrated").drop(X)
 
 
-def metric_report(scored: DataFrame, score: str, label: str, draws: int = B.DRAWS) -> DataFrame:
+def metric_report(scored: DataFrame, score: str, label: str, draws: int = B.DRAWS, picked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """AUROC with clustered interval, average precision, Brier, log-loss and ECE in one row.
 
     Every part is written by itself, and so is the row: one plan of all of them, of all reports of a grid even, would
     hold hundreds of stages, threads and their metrics on the driver at a time."""
     s = materialize(scored.select("problem_id", F.col(score).alias("s"), F.col(label).cast("long").alias("y")))
     parts = [D.auroc(s, "s", "y").select("auroc"), D.average_precision(s, "s", "y"), D.proper_scores(s, "s", "y"),
-             D.calibration_error(s, "s", "y"), B.metric_interval(s, "s", "y", draws=draws)]
+             D.calibration_error(s, "s", "y"), B.metric_interval(s, "s", "y", draws=draws, picked=picked)]
     return materialize(reduce(lambda a, b: a.join(b, F.lit(True)), [materialize(p) for p in parts]))
 
 
@@ -195,15 +195,27 @@ def evaluate(
     df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "logistic", draws: int = B.DRAWS, **how
 ) -> DataFrame:
     """Train/validation/test run: leak check, fit, Platt on validation, metrics on test."""
+    return _evaluated(_checked(df), label, numeric, categorical, kind, draws, **how)
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """``df``, written, once no problem is in two splits."""
     leak = split_overlap(df).agg((F.coalesce(F.sum("shared_problems"), F.lit(0)) == 0).alias("ok"))
-    rows = materialize(require(df, leak, "a problem is in two splits"))
+    return materialize(require(df, leak, "a problem is in two splits"))
+
+
+def _evaluated(
+    rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "logistic", draws: int = B.DRAWS,
+    picked: tuple[DataFrame, DataFrame] | None = None, **how
+) -> DataFrame:
+    """``evaluate`` of checked rows; ``picked`` are picks of the test rows."""
     part = {s: rows.where(F.col("research_split") == s) for s in ("train", "validation", "test")}
     scored = materialize(fit_predict(part["train"], rows.where("research_split <> 'train'"), label, numeric, categorical, kind, **how))
     if kind == "prior":
         final = scored.where("research_split = 'test'").withColumn("calibrated", F.col(P))
     else:
         final = platt(scored.where("research_split = 'validation'"), scored.where("research_split = 'test'"), label)
-    return metric_report(final, "calibrated", label, draws)
+    return metric_report(final, "calibrated", label, draws, picked)
 
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -211,11 +223,16 @@ def _stack(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def ablation_grid(df: DataFrame, label: str, feature_sets: Mapping[str, Sequence[str]], kinds: Mapping[str, dict], draws: int = B.DRAWS) -> DataFrame:
-    """One evaluation per feature set and model kind."""
-    return _stack([
-        evaluate(df, label, fs, kind=k, draws=draws, **how).withColumns({"feature_set": F.lit(name), "model": F.lit(k)})
-        for name, fs in feature_sets.items() for k, how in kinds.items()
-    ])
+    """One evaluation per feature set and model kind; rows are checked, and the test rows' picks hashed, once.  A prior knows no features."""
+    rows = _checked(df)
+    picked = B.shared_picks(rows.where("research_split = 'test'"), [label], draws=draws)
+    out, prior = [], None
+    for name, fs in feature_sets.items():
+        for k, how in kinds.items():
+            got = prior if k == "prior" and prior is not None else _evaluated(rows, label, fs, kind=k, draws=draws, picked=picked, **how)
+            prior = got if k == "prior" else prior
+            out.append(got.withColumns({"feature_set": F.lit(name), "model": F.lit(k)}))
+    return _stack(out)
 
 
 def viable(df: DataFrame, label: str) -> bool:
@@ -270,9 +287,12 @@ def contrast_grid(
             final = platt(raw.where("research_split = 'validation'"), raw.where("research_split = 'test'"), label)
             both = both.join(final.select("run_id", F.col("calibrated").alias(f"p_{name}")), "run_id")
         both = materialize(both)
+        # the picks are hashed once, and a set's values of a metric are worked out once
+        picked = B.shared_picks(both, [label, *(f"p_{name}" for name in feature_sets)], draws=draws)
+        value = {(name, m): materialize(B.replicate_metric(both, f"p_{name}", label, m, draws=draws, picked=picked)) for name in feature_sets for m in metrics}
         for name in feature_sets:
             for metric in metrics if name != baseline else ():
-                gain = B.paired_metric_difference(both, f"p_{baseline}", f"p_{name}", label, metric, draws=draws)
+                gain = B.difference_interval(value[baseline, metric], value[name, metric])
                 out.append(gain.withColumns({"feature_set": F.lit(name), "metric": F.lit(metric), "status": F.lit("fitted")} | tags))
     return _stack(out)
 

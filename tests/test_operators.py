@@ -633,3 +633,46 @@ def test_cuts_of_a_feature_with_many_values(spark):
     cuts = R.thresholds(rows, ["x", "y", "z"])
     assert cuts["x"] == [100.0 * k - 0.25 for k in range(1, 32)] and cuts["y"] == [0.5, 1.5] and cuts["z"] == []
     assert sorted(r["count"] for r in R.with_cell(rows.select("x"), {"x": cuts["x"]}).groupBy(R.CELL).count().collect()) == [200] * 32
+
+
+def test_average_precision_makes_no_row_of_a_draw_and_a_score(spark, monkeypatch):
+    import random
+
+    from retrials.operators import resampling as B
+    rnd, draws, names = random.Random(9), 40, [f"p{i}" for i in range(15)]
+    rows = [(c, rnd.choice([0.1, 0.25, 0.5, 0.5, 0.75, 0.9, float("nan")]), int(rnd.random() < 0.3)) for c in names for _ in range(rnd.randint(1, 8))]
+    df = materialize(spark.createDataFrame(rows, "problem_id string, s double, y int").repartition(3))
+    slots, picks, want = _index_of(names), _plain_picks(len(names), draws), []
+    for chosen in picks:
+        seen = [(-s if s == s else 1.0, y) for slot in chosen for c, s, y in rows if c == slots[slot]]
+        tops = {t: ([y for d, y in seen if d <= t], [y for d, y in seen if d == t]) for t in {d for d, _ in seen}}
+        total = sum(y for _, y in seen)
+        want.append(sum(sum(at) * sum(upto) / len(upto) for upto, at in tops.values()) / total if total else None)
+    written, plain = [], B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df: (out := plain(df), written.append(out.count()))[0])
+    found = {r.draw: r.value for r in B.replicate_metric(df, "s", "y", "average_precision", draws=draws).collect()}
+    assert [found[d] for d in range(draws)] == pytest.approx(want)
+    assert max(written) <= len(rows)
+
+
+def test_metrics_of_the_same_rows_share_their_picks(spark, monkeypatch):
+    from retrials.operators import resampling as B
+    rows = spark.range(600).select(
+        F.col("id").alias("run_id"), F.floor(F.col("id") / 4).alias("problem_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"),
+        ((F.col("id") * 31) % 17 + F.col("id") % 7 > 11).alias("correct"))
+    k = F.col("problem_id") % 5
+    rows = materialize(rows.withColumn("research_split", F.when(k < 3, "train").when(k == 3, "validation").otherwise("test")))
+    hashed, plain = [], B.pick_blocks
+    monkeypatch.setattr(B, "pick_blocks", lambda *a: (hashed.append(1), plain(*a))[1])
+    got = K.contrast_grid({("all",): rows}, ["scope"], "correct", {"one": ["a"], "two": ["a", "b"]}, "one", draws=20).collect()
+    assert len(got) == 4 and len(hashed) == 1 and all(r.used_draws == 20 for r in got)
+    table = {(r.feature_set, r.model): r for r in K.ablation_grid(rows, "correct", {"one": ["a"], "two": ["a", "b"]}, {"logistic": {}, "prior": {}}, draws=20).collect()}
+    assert len(table) == 4 and len(hashed) == 2
+    alone = K.evaluate(rows, "correct", ["a", "b"], draws=20).first()
+    assert (alone.auroc, alone.ci_low, alone.ci_high) == pytest.approx([table["two", "logistic"][c] for c in ("auroc", "ci_low", "ci_high")])
+    p = rows.select("problem_id", "correct", (F.col("a") / 7).alias("p"), (F.col("b") / 11).alias("q"))
+    picked = B.shared_picks(p, ["correct", "p", "q"], draws=20)
+    for m in K.CONTRASTED:
+        sets = [{r.draw: r.value for r in B.replicate_metric(p, "p", "correct", m, draws=20, picked=x).collect()} for x in (None, picked)]
+        assert sets[0] == pytest.approx(sets[1])
+    assert B.shared_picks(p.withColumn("q", F.when(F.col("problem_id") > 3, F.col("q"))), ["correct", "q"], draws=20) is None
