@@ -676,3 +676,16 @@ def test_metrics_of_the_same_rows_share_their_picks(spark, monkeypatch):
         sets = [{r.draw: r.value for r in B.replicate_metric(p, "p", "correct", m, draws=20, picked=x).collect()} for x in (None, picked)]
         assert sets[0] == pytest.approx(sets[1])
     assert B.shared_picks(p.withColumn("q", F.when(F.col("problem_id") > 3, F.col("q"))), ["correct", "q"], draws=20) is None
+
+
+def test_hashes_look_up_the_lowest_digits(monkeypatch):
+    import hashlib
+
+    from retrials.functions import digests
+    made, plain = [], np.arange
+    monkeypatch.setattr(digests.np, "arange", lambda *a: (x := plain(*a), made.append(len(x)))[0])
+    got = digests.pair_hashes("b:u:", 98, 101, 9990, 45003)
+    assert sum(made) < 40_000
+    for d in (98, 99, 100, 101):
+        for i in (9990, 9999, 10000, 19999, 20000, 39999, 40000, 45003):
+            assert got[d - 98, i - 9990] == int(hashlib.md5(f"b:u:{d}:{i}".encode()).hexdigest()[:15], 16)
