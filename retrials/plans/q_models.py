@@ -12,7 +12,7 @@ from retrials.operators import signals as S
 from retrials.plans import fixtures as X
 from retrials.plans.q_arms import COSTS, arms
 from retrials.plans.q_probes import _labels, _panel
-from retrials.plans.q_tokens import cut, scoped
+from retrials.plans.q_tokens import scoped
 from retrials.plans.registry import query
 
 FEATURES = ["price", "discount", "tax", "tokens"]
@@ -71,8 +71,9 @@ def _(spark, sf):
 
 
 def early(spark, sf):
-    s = S.scalar_summary(cut(spark, sf), "s1").select("run_id", "prefix_length", "mean", "std", "slope", "max_rise")
-    ids = scoped(spark, sf).groupBy("run_id", "problem_id", "model_key", "correct").agg(F.max("n").alias("n"))
+    rows = scoped(spark, sf)
+    s = S.scalar_summary(S.prefix_rows(rows, X.PREFIXES), "s1").select("run_id", "prefix_length", "mean", "std", "slope", "max_rise")
+    ids = rows.groupBy("run_id", "problem_id", "model_key", "correct").agg(F.max("n").alias("n"))
     return materialize(s.join(ids, "run_id").withColumn("research_split", by_problem("problem_id")))
 
 
